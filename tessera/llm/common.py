@@ -33,17 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it again: the lineage ends there, and lost executors cost only their own tasks.
+
+    The table stays until its folder is cleared, as what is returned, and what is derived from it, may be read at any time.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser, vectorised; wraps modulo 2**64."""
     x = x ^ (x >> U64(30))

@@ -83,7 +83,8 @@ def train(df: DataFrame, settings: Settings = Settings(), text: str = "text", la
     cut_at = keys.agg(F.max(F.struct("h", "i")).alias("m")).first().m
     if cut_at is None:
         return Model((), np.zeros(0), np.zeros((settings.buckets, 0), np.float32))
-    sample = rows.where(F.struct(F.xxhash64("i").alias("h"), F.col("i").alias("i")) <= F.struct(F.lit(cut_at.h), F.lit(cut_at.i)))
+    h = F.xxhash64("i")
+    sample = rows.where((h < cut_at.h) | ((h == cut_at.h) & (F.col("i") <= cut_at.i)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid
+from . import bpe, decontaminate, gif, langid, minhash, secrets, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffixes": suffixes.query,
+        "op2_minhash": minhash.query,
         "op3_langid": langid.query,
+        "op5_decontaminate": decontaminate.query,
+        "op6_gif": gif.query,
+        "op7_secrets": secrets.query,
         "op9_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontaminate": decontaminate.SQL,
+    }
