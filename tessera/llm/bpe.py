@@ -11,21 +11,22 @@ import codecs
 import gc
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
 SPACE = "\t-\r \x85\xa0  -     　"
-SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
-ODD_SPACE = regex.compile("[\x1c-\x1f]")  # Python's split takes these for white space, the vocabulary's pattern does not
+SPLIT_SPACE = re.compile(f"[{SPACE}]+")
+ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python's split takes these for white space, the vocabulary's pattern does not
 
 
 def byte_letters() -> list[str]:
@@ -69,8 +70,8 @@ class Vocabulary:
         self.letters = byte_letters()
         self.bytes_of = {c: b for b, c in enumerate(self.letters)}
         steps = spec["pre_tokenizer"]["pretokenizers"] if spec["pre_tokenizer"]["type"] == "Sequence" else [spec["pre_tokenizer"]]
-        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        self.cuts = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.pattern = compiled(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        self.cuts = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.most, self.cache, self.known = cache, {}, {}
         self.first = np.array([self.ids[c] for c in self.letters], np.int32)
         self.first_at_end = np.array([self.ids[c + self.suffix] for c in self.letters], np.int32)
@@ -249,6 +250,27 @@ class Decoder:
         return self.utf8.decode(b"", True)
 
 
+@lru_cache(maxsize=1)
+def letter_classes() -> dict[str, str]:
+    r"""Ranges of \p{L} and \p{N} from the interpreter's Unicode tables, as the inside of a character class."""
+    out: dict[str, list[str]] = {"L": [], "N": []}
+    start, kind = 0, ""
+    for c in range(sys.maxunicode + 2):
+        now = unicodedata.category(chr(c))[0] if c <= sys.maxunicode else ""
+        if now != kind:
+            if kind in out:
+                out[kind].append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start, kind = c, now
+    return {k: "".join(v) for k, v in out.items()}
+
+
+def compiled(pattern: str) -> re.Pattern[str]:
+    r"""A vocabulary's pattern with \p{L}, \p{N} and \s, all within classes, spelt out."""
+    for name, inside in (*((f"\\p{{{k}}}", v) for k, v in letter_classes().items()), ("\\s", SPACE)):
+        pattern = pattern.replace(name, inside)
+    return re.compile(pattern)
+
+
 def lowered(text: str) -> str:
     """Lower case letter by letter, without the rule for a sigma that ends a word."""
     return text.replace("Σ", "σ").lower()
