@@ -1,11 +1,455 @@
-"""Every query of the graph engine with its SQL."""
+"""Every query of the graph engine with its DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import scalars
+from ..functions.hashing import murmur32, with_hash64
+from ..operators import graph, hybrid, sampling, sketches, triangles
+from ..operators.sketches import C, S, X
+from ..sources import edges as sources
+from . import fixtures, sql
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if text:
+            _SQL[name] = text
+        return f
+
+    return add
+
+
+def fwd_of(spark: SparkSession, sf_dir: str, g: str = "g1") -> DataFrame:
+    return graph.orient(fixtures.GRAPHS[g](spark, sf_dir))
+
+
+def deg_of(spark: SparkSession, sf_dir: str, g: str = "g1") -> DataFrame:
+    return graph.degrees(fixtures.GRAPHS[g](spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- sources
+
+
+@query("parse_edges_basic", sql.parsed("line, a, b"))
+def parse_edges_basic(spark, sf_dir):
+    return sources.parse(fixtures.edge_lines(spark, sf_dir))
+
+
+@query("parse_edges_comments_blank", f"SELECT count(*) AS lines, CAST(sum(CASE WHEN p.line IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM ({fixtures.EDGE_LINES_SQL}) l LEFT JOIN ({sql.parsed('line')}) p ON l.line = p.line")
+def parse_edges_comments_blank(spark, sf_dir):
+    lines = fixtures.edge_lines(spark, sf_dir)
+    kept = sources.parse(lines).select(F.col("line").alias("kept"))
+    return lines.join(kept, F.col("line") == F.col("kept"), "left").agg(F.count("*").alias("lines"), F.count_if(F.col("kept").isNull()).alias("skipped"))
+
+
+@query("parse_edges_delimiter", f"SELECT line, string_split(trim(value), '||')[1] AS a, string_split(trim(value), '||')[2] AS b FROM ({fixtures.DELIMITED_SQL}) WHERE trim(value)[1] NOT IN (';') AND len(string_split(trim(value), '||')) >= 2")
+def parse_edges_delimiter(spark, sf_dir):
+    return sources.parse(fixtures.delimited_lines(spark, sf_dir), "||", ";")
+
+
+@query("canonical_dedup", f"SELECT DISTINCT u, v FROM ({sql.CANONICAL})")
+def canonical_dedup(spark, sf_dir):
+    return sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir))))
+
+
+@query("edges_no_dedup_degree", f"SELECT node, count(*) AS deg FROM (SELECT unnest([u, v]) AS node FROM ({sql.CANONICAL})) GROUP BY node")
+def edges_no_dedup_degree(spark, sf_dir):
+    return graph.degrees(sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir))), dedup=False))
+
+
+@query("one_indexed_shift", f"SELECT DISTINCT u - 1 AS u, v - 1 AS v FROM ({sql.CANONICAL})")
+def one_indexed_shift(spark, sf_dir):
+    return sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir)), one_indexed=True))
+
+
+@query("from_pairs_table", "SELECT DISTINCT least(o_custkey, o_orderkey) AS u, greatest(o_custkey, o_orderkey) AS v FROM orders WHERE o_custkey <> o_orderkey")
+def from_pairs_table(spark, sf_dir):
+    return sources.from_pairs(fixtures.table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("dense_remap", f"WITH e AS ({fixtures.EDGE_SQL['g3']}), d AS (SELECT node, CAST(row_number() OVER (ORDER BY node) - 1 AS BIGINT) AS id FROM (SELECT u AS node FROM e UNION SELECT v FROM e)) SELECT a.id AS u, b.id AS v FROM e JOIN d a ON e.u = a.node JOIN d b ON e.v = b.node")
+def dense_remap(spark, sf_dir):
+    return sources.remap(fixtures.tripartite_graph(spark, sf_dir))
+
+
+LABELS_SQL = f"SELECT label, CAST(row_number() OVER (ORDER BY spot) - 1 AS BIGINT) AS id FROM (SELECT label, min(spot) AS spot FROM (SELECT string_split(trim(value), '||')[1] AS label, line * 2 AS spot FROM ({fixtures.DELIMITED_SQL}) WHERE value NOT LIKE ';%' UNION ALL SELECT string_split(trim(value), '||')[2], line * 2 + 1 FROM ({fixtures.DELIMITED_SQL}) WHERE value NOT LIKE ';%') GROUP BY label)"
+
+
+@query("label_intern", LABELS_SQL)
+def label_intern(spark, sf_dir):
+    return sources.intern_labels(sources.parse(fixtures.delimited_lines(spark, sf_dir), "||", ";"))
+
+
+@query("labelled_edges", f"WITH l AS ({LABELS_SQL}), p AS (SELECT string_split(trim(value), '||') AS f FROM ({fixtures.DELIMITED_SQL}) WHERE value NOT LIKE ';%') SELECT DISTINCT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM p JOIN l a ON f[1] = a.label JOIN l b ON f[2] = b.label WHERE a.id <> b.id")
+def labelled_edges(spark, sf_dir):
+    pairs = sources.parse(fixtures.delimited_lines(spark, sf_dir), "||", ";")
+    return sources.canonical(sources.labelled_pairs(pairs, sources.intern_labels(pairs)))
+
+
+# ---- degrees
+
+
+@query("node_universe", sql.with_graph("SELECT DISTINCT unnest([u, v]) AS node FROM e", "g3"))
+def node_universe(spark, sf_dir):
+    return graph.nodes(fixtures.tripartite_graph(spark, sf_dir))
+
+
+@query("degree_undirected", sql.with_graph("SELECT node, deg FROM d"))
+def degree_undirected(spark, sf_dir):
+    return deg_of(spark, sf_dir)
+
+
+@query("degree_summary", sql.with_graph(sql.SUMMARY))
+def degree_summary(spark, sf_dir):
+    out = graph.degree_summary(deg_of(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 9) for c in ("avg_degree", "std_degree", "density_active_nodes")})
+
+
+@query("degree_histogram", sql.with_graph("SELECT deg AS degree, count(*) AS node_count, round(count(*)::DOUBLE / (SELECT count(*) FROM d), 12) AS fraction FROM d GROUP BY deg"))
+def degree_histogram(spark, sf_dir):
+    return graph.degree_histogram(deg_of(spark, sf_dir)).withColumn("fraction", F.round("fraction", 12))
+
+
+@query("degree_log2_buckets", sql.with_graph("SELECT '[' || (1 << k) || ',' || ((1 << (k + 1)) - 1) || ']' AS bucket, (1::BIGINT << k) AS degree_low, (1::BIGINT << (k + 1)) - 1 AS degree_high, count(*) AS node_count, round(count(*)::DOUBLE / (SELECT count(*) FROM d), 12) AS fraction FROM (SELECT CAST(length(bin(deg)) - 1 AS INTEGER) AS k FROM d) GROUP BY k"))
+def degree_log2_buckets(spark, sf_dir):
+    return graph.degree_log2_buckets(deg_of(spark, sf_dir)).withColumn("fraction", F.round("fraction", 12))
+
+
+@query("degree_topk", sql.with_graph("SELECT node, deg AS degree FROM d ORDER BY deg DESC, node LIMIT 20"))
+def degree_topk(spark, sf_dir):
+    return graph.top_degrees(deg_of(spark, sf_dir), 20)
+
+
+@query("degree_one_nodes", sql.with_graph("SELECT count(*) AS degree_1_nodes FROM d WHERE deg = 1", "g4"))
+def degree_one_nodes(spark, sf_dir):
+    return graph.degree_summary(deg_of(spark, sf_dir, "g4")).select("degree_1_nodes")
+
+
+@query("density", sql.with_graph("SELECT round(sum(deg)::DOUBLE / (count(*)::DOUBLE * (count(*) - 1)), 12) AS density FROM d", "g2"))
+def density(spark, sf_dir):
+    return graph.degree_summary(deg_of(spark, sf_dir, "g2")).select(F.round("density_active_nodes", 12).alias("density"))
+
+
+@query("statistics_document")
+def statistics_document(spark, sf_dir):
+    e = sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir))), dedup=False)
+    return graph.statistics_document(graph.degrees(e), e, dedup=False)
+
+
+# ---- orientation
+
+
+@query("oriented_edges", sql.with_graph("SELECT src, dst FROM f"))
+def oriented_edges(spark, sf_dir):
+    return fwd_of(spark, sf_dir)
+
+
+@query("symmetric_edges", sql.with_graph("SELECT u, v FROM e UNION ALL SELECT v, u FROM e", "g4"))
+def symmetric_edges(spark, sf_dir):
+    return graph.symmetric(fixtures.returned_graph(spark, sf_dir))
+
+
+@query("forward_degree", sql.with_graph("SELECT node, d_out FROM p"))
+def forward_degree(spark, sf_dir):
+    return graph.forward_degrees(fwd_of(spark, sf_dir))
+
+
+@query("forward_adjacency", sql.with_graph("SELECT p.node, p.d_out, coalesce(n.nbrs, '') AS nbrs FROM p LEFT JOIN (SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM f GROUP BY src) n ON p.node = n.src"))
+def forward_adjacency(spark, sf_dir):
+    return graph.adjacency(fwd_of(spark, sf_dir)).select("node", F.col("d_out").cast("bigint").alias("d_out"), F.array_join(F.col("nbrs").cast("array<string>"), ",").alias("nbrs"))
+
+
+@query("edge_costs", sql.with_graph("SELECT src, dst, deg_u, deg_v, proxy FROM c"))
+def edge_costs(spark, sf_dir):
+    return graph.edge_costs(fwd_of(spark, sf_dir))
+
+
+@query("max_hybrid_cost", sql.with_graph("SELECT coalesce(max(proxy), 0) AS max_cost FROM c"))
+def max_hybrid_cost(spark, sf_dir):
+    return graph.max_cost(graph.edge_costs(fwd_of(spark, sf_dir)))
+
+
+@query("forward_max_mean", sql.with_graph("SELECT max(d_out) AS max_d_out, round(avg(d_out), 9) AS mean_d_out FROM p"))
+def forward_max_mean(spark, sf_dir):
+    return graph.forward_summary(graph.forward_degrees(fwd_of(spark, sf_dir))).withColumn("mean_d_out", F.round("mean_d_out", 9))
+
+
+@query("proxy_buckets", sql.with_graph(f"SELECT {sql.PROXY_CASE} AS bucket, count(*) AS edges FROM c GROUP BY 1"))
+def proxy_buckets(spark, sf_dir):
+    return graph.proxy_buckets(graph.edge_costs(fwd_of(spark, sf_dir)))
+
+
+@query("classify_light_heavy", sql.with_graph("SELECT src, dst, proxy, proxy <= 32 AS light FROM c"))
+def classify_light_heavy(spark, sf_dir):
+    return graph.classify(graph.edge_costs(fwd_of(spark, sf_dir)), 32).select("src", "dst", "proxy", "light")
+
+
+@query("edges_by_cost", sql.with_graph("SELECT src, dst, proxy FROM c", "g4"))
+def edges_by_cost(spark, sf_dir):
+    return graph.by_cost(graph.edge_costs(fwd_of(spark, sf_dir, "g4")), 8).select("src", "dst", "proxy")
+
+
+# ---- exact
+
+
+def _triangles(g: str) -> None:
+    @query(f"triangles_{g}", sql.with_graph("SELECT count(*) AS triangles FROM f a JOIN f b ON a.dst = b.src JOIN f c ON c.src = a.src AND c.dst = b.dst", g))
+    def run(spark, sf_dir):
+        return triangles.count(fwd_of(spark, sf_dir, g))
+
+
+for _g in fixtures.GRAPHS:
+    _triangles(_g)
+
+
+@query("triangles_wedge_join", sql.with_graph("SELECT count(*) AS triangles FROM f a JOIN f b ON a.dst = b.src JOIN f c ON c.src = a.src AND c.dst = b.dst", "g4"))
+def triangles_wedge_join(spark, sf_dir):
+    return triangles.wedges(fwd_of(spark, sf_dir, "g4"))
+
+
+@query("edge_support", sql.with_graph("SELECT src, dst, support FROM s", "g4", "s"))
+def edge_support(spark, sf_dir):
+    return triangles.edge_support(fwd_of(spark, sf_dir, "g4"))
+
+
+@query("triangle_edge_score_div3", sql.with_graph("SELECT (SELECT count(*) FROM e JOIN b x ON e.u = x.u JOIN b y ON e.v = y.u AND x.v = y.v) / 3.0::DOUBLE AS triangles", "g4", "b"))
+def triangle_edge_score_div3(spark, sf_dir):
+    return triangles.edge_score_third(fixtures.returned_graph(spark, sf_dir))
+
+
+VERTEX = "SELECT node, count(*) AS triangles FROM (SELECT unnest([a.src, a.dst, b.dst]) AS node FROM f a JOIN f b ON a.dst = b.src JOIN f c ON c.src = a.src AND c.dst = b.dst) GROUP BY node"
+
+
+@query("vertex_triangles", sql.with_graph(VERTEX, "g3"))
+def vertex_triangles(spark, sf_dir):
+    return triangles.per_vertex(fwd_of(spark, sf_dir, "g3"))
+
+
+@query("vertex_triangles_div3", sql.with_graph(f"SELECT CAST(sum(triangles) // 3 AS BIGINT) AS triangles FROM ({VERTEX})", "g3"))
+def vertex_triangles_div3(spark, sf_dir):
+    return triangles.vertex_third(fwd_of(spark, sf_dir, "g3"))
+
+
+@query("triangle_list", sql.with_graph("SELECT a.src AS a, a.dst AS b, b.dst AS c FROM f a JOIN f b ON a.dst = b.src JOIN f c ON c.src = a.src AND c.dst = b.dst", "g4"))
+def triangle_list(spark, sf_dir):
+    return triangles.listed(fwd_of(spark, sf_dir, "g4"))
+
+
+@query("self_test", "SELECT CAST(4 AS BIGINT) AS triangles, CAST(4.0 AS DOUBLE) AS hybrid, CAST(0 AS BIGINT) AS hll_edges")
+def self_test(spark, sf_dir):
+    fwd = graph.orient(sources.self_test_graph(spark))
+    h = hybrid.hybrid(fwd, 1_000_000_000, 8, C).select(F.col("total").alias("hybrid"), F.col("n_approx").alias("hll_edges"))
+    return triangles.count(fwd).crossJoin(h)  # one row each
+
+
+# ---- sketches
+
+
+@query("hash64_s", f"SELECT node, {sql.as_signed(sql.hash_s('node::UBIGINT'))} AS h FROM (SELECT p_partkey AS node FROM part UNION ALL SELECT 0)")
+def hash64_s(spark, sf_dir):
+    ids = fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).unionByName(spark.range(1).toDF("node"))
+    return with_hash64(ids, F.col("node"), "h")
+
+
+@query("hash64_c", f"SELECT p_partkey AS node, {sql.as_signed(sql.hash_c('p_partkey::UBIGINT', 7))} AS h FROM part")
+def hash64_c(spark, sf_dir):
+    return with_hash64(fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), F.col("node"), "h", 7)
+
+
+@query("murmur32_x", f"SELECT p_partkey AS node, CAST({sql.hash_x('p_partkey::UBIGINT')} AS BIGINT) AS h FROM part")
+def murmur32_x(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), murmur32(F.col("p_partkey")).alias("h"))
+
+
+@query("registers_s_p8", sql.with_graph("SELECT node, j, rho FROM r", "g1", "r", regs=(8, "s", 64)))
+def registers_s_p8(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir), 8, S, theta=64)
+
+
+@query("registers_c_p10", sql.with_graph("SELECT node, j, rho FROM r", "g4", "r", regs=(10, "c", 0)))
+def registers_c_p10(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir, "g4"), 10, C)
+
+
+@query("registers_x_p8", sql.with_graph("SELECT node, j, rho FROM r", "g4", "r", regs=(8, "x", 0)))
+def registers_x_p8(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir, "g4"), 8, X)
+
+
+@query("cardinality_estimate", sql.with_graph(f"SELECT node, round({sql.estimate('z', 'v', 8, 64)}, 6) AS estimate FROM (SELECT node, sum(pow(2.0::DOUBLE, -rho)) + 256 - count(*) AS z, (256 - count(*))::DOUBLE AS v FROM r GROUP BY node)", "g1", "r", regs=(8, "s", 0)))
+def cardinality_estimate(spark, sf_dir):
+    return sketches.cardinalities(sketches.registers(fwd_of(spark, sf_dir), 8, S), 8).withColumn("estimate", F.round("estimate", 6))
+
+
+@query("union_estimate", sql.with_graph("SELECT src, dst, round(union_estimate, 6) AS union_estimate FROM w", "g1", "w", regs=(8, "s", 64), gamma=">= 64"))
+def union_estimate(spark, sf_dir):
+    fwd = fwd_of(spark, sf_dir)
+    pairs = graph.edge_costs(fwd).where("proxy >= 64").select("src", "dst")
+    return sketches.union_estimates(pairs, sketches.registers(fwd, 8, S, theta=64), 8).withColumn("union_estimate", F.round("union_estimate", 6))
+
+
+@query("linear_counting_zero_registers", sql.with_graph("SELECT node, 16 - count(*) AS zeros FROM r GROUP BY node", "g1", "r", regs=(4, "s", 0)))
+def linear_counting_zero_registers(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir), 4, S).groupBy("node").agg((16 - F.count("*")).alias("zeros"))
+
+
+# ---- approximate counts
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 3) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in names if c in df.columns})
+
+
+STATS = ("total", "n_edges", "n_approx", "n_exact", "n_fallback", "n_clamped", "approx_coverage", "fallback_ratio", "clamp_ratio")
+
+
+@query("pure_hll_c", sql.with_graph("SELECT round(sum(s_clamped), 2) AS total, count(*) AS n_edges, CAST(sum(CASE WHEN s_hat <> s_clamped THEN 1 ELSE 0 END) AS BIGINT) AS n_clamped FROM x", "g4", "x", regs=(8, "c", 0), gamma=">= 0", domain=32))
+def pure_hll_c(spark, sf_dir):
+    return rounded(hybrid.pure(fwd_of(spark, sf_dir, "g4"), 8, C), "total", digits=2)
+
+
+@query("all_hll_x", sql.with_graph("SELECT round(sum(s_clamped), 1) AS total, count(*) AS n_edges FROM x", "g4", "x", regs=(8, "x", 0), gamma=">= 0", domain=0, exact=False, upper=False, remap=True))
+def all_hll_x(spark, sf_dir):
+    fwd = graph.orient(sources.remap(fixtures.returned_graph(spark, sf_dir)))
+    return rounded(hybrid.pure(fwd, 8, X), "total", digits=1).select("total", "n_edges")
+
+
+@query("hybrid_s_stats", sql.with_graph(sql.hybrid_stats(), "g1", "y", regs=(8, "s", 64), gamma=">= 64"))
+def hybrid_s_stats(spark, sf_dir):
+    out = hybrid.hybrid(fwd_of(spark, sf_dir), 64, 8, S)
+    return rounded(rounded(out.select(*STATS), "total", digits=2), "approx_coverage", "fallback_ratio", "clamp_ratio", digits=9)
+
+
+@query("hybrid_c_stats", sql.with_graph("SELECT round(sum(s_clamped), 2) AS total, CAST(sum(CASE WHEN hll THEN 0 ELSE 1 END) AS BIGINT) AS n_exact, CAST(sum(CASE WHEN hll THEN 1 ELSE 0 END) AS BIGINT) AS n_approx, round(sum(CASE WHEN hll THEN 0 ELSE s_clamped END), 2) AS exact_sum, round(sum(CASE WHEN hll THEN s_clamped ELSE 0 END), 2) AS hll_sum, CAST(sum(CASE WHEN s_hat <> s_clamped THEN 1 ELSE 0 END) AS BIGINT) AS n_clamped FROM y", "g1", "y", regs=(8, "c", 0), gamma="> 64", domain=32))
+def hybrid_c_stats(spark, sf_dir):
+    return rounded(hybrid.hybrid(fwd_of(spark, sf_dir), 64, 8, C).select("total", "n_exact", "n_approx", "exact_sum", "hll_sum", "n_clamped"), "total", "exact_sum", "hll_sum", digits=2)
+
+
+@query("hybrid_x_light_heavy", sql.with_graph("SELECT round(sum(s_clamped), 1) AS total, CAST(sum(CASE WHEN hll THEN 0 ELSE 1 END) AS BIGINT) AS light, CAST(sum(CASE WHEN hll THEN 1 ELSE 0 END) AS BIGINT) AS heavy FROM y", "g4", "y", regs=(8, "x", 0), gamma="> 8", domain=0, exact=False, upper=False, remap=True))
+def hybrid_x_light_heavy(spark, sf_dir):
+    fwd = graph.orient(sources.remap(fixtures.returned_graph(spark, sf_dir)))
+    return rounded(hybrid.hybrid(fwd, 8, 8, X).select("total", F.col("n_exact").alias("light"), F.col("n_approx").alias("heavy")), "total", digits=1)
+
+
+@query("hybrid_edge_details", sql.with_graph("SELECT src, dst, deg_u, deg_v, proxy, CASE WHEN hll THEN 'hll' ELSE 'exact' END AS method, round(s_hat, 6) AS s_hat, round(s_clamped, 6) AS s_clamped FROM y", "g4", "y", regs=(8, "s", 8), gamma=">= 8"))
+def hybrid_edge_details(spark, sf_dir):
+    return rounded(hybrid.edge_details(fwd_of(spark, sf_dir, "g4"), 8, 8, S).drop("wanted"), "s_hat", "s_clamped", digits=6)
+
+
+def _sweep_sql() -> str:
+    rows = [sql.with_graph(f"SELECT {p} AS p, {g} AS gamma, round(sum(s_clamped), 2) AS total, CAST(sum(CASE WHEN hll THEN 1 ELSE 0 END) AS BIGINT) AS n_approx, CAST(sum(CASE WHEN hll AND s_hat <> s_clamped THEN 1 ELSE 0 END) AS BIGINT) AS n_clamped FROM y", "g4", "y", regs=(p, "s", g), gamma=f">= {g}") for p, g in GRID]
+    return " UNION ALL ".join(f"({r})" for r in rows)
+
+
+GRID = [(8, 4), (8, 8), (10, 4), (10, 8)]
+
+
+@query("hybrid_sweep_p_gamma", _sweep_sql())
+def hybrid_sweep_p_gamma(spark, sf_dir):
+    return rounded(hybrid.sweep(fwd_of(spark, sf_dir, "g4"), GRID), "total", digits=2)
+
+
+@query("hybrid_degenerate_exact", sql.with_graph("SELECT CAST(sum(support) AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n_approx FROM s", "g4", "s"))
+def hybrid_degenerate_exact(spark, sf_dir):
+    return hybrid.hybrid(fwd_of(spark, sf_dir, "g4"), 100_000, 8, S).select("total", "n_approx")
+
+
+@query("hybrid_fallback", sql.with_graph(sql.hybrid_stats(), "g4", "y", regs=(8, "s", 10), gamma=">= 8", theta=10))
+def hybrid_fallback(spark, sf_dir):
+    out = hybrid.hybrid(fwd_of(spark, sf_dir, "g4"), 8, 8, S, theta=10).select(*STATS)
+    return rounded(rounded(out, "total", digits=2), "approx_coverage", "fallback_ratio", "clamp_ratio", digits=9)
+
+
+# ---- sampling
+
+
+def _doulion(name: str, q: float) -> None:
+    @query(name, sql.doulion(q))
+    def run(spark, sf_dir):
+        return rounded(sampling.doulion(fixtures.part_graph(spark, sf_dir), q), "estimate")
+
+
+_doulion("doulion_hash_q10", 0.10)
+_doulion("doulion_hash_q05", 0.05)
+
+
+@query("doulion_forward_q10", sql.doulion(0.10))
+def doulion_forward_q10(spark, sf_dir):
+    return rounded(sampling.doulion_forward(fwd_of(spark, sf_dir), 0.10), "estimate")
+
+
+@query("doulion_repeated_stats", sql.doulion_repeated(0.3))
+def doulion_repeated_stats(spark, sf_dir):
+    return rounded(sampling.doulion_repeated(fwd_of(spark, sf_dir, "g4"), 0.3), "mean_estimate", "std_estimate")
+
+
+@query("doulion_rand")
+def doulion_rand(spark, sf_dir):
+    return sampling.doulion_rand(fixtures.part_graph(spark, sf_dir), 0.3)
+
+
+# ---- reports
+
+
+@query("method_report", sql.with_graph("SELECT m.method, round(m.estimate, 2) AS estimate, round(abs(m.estimate - t.t) / t.t, 9) AS rel_error, round(m.estimate - t.t, 2) AS bias, round(m.coverage, 9) AS coverage FROM (SELECT 'exact' AS method, (SELECT sum(support) FROM s)::DOUBLE AS estimate, 0.0::DOUBLE AS coverage UNION ALL SELECT 'hybrid', (SELECT sum(s_clamped) FROM y), (SELECT avg(CASE WHEN hll THEN 1.0 ELSE 0.0 END) FROM y)) m, (SELECT sum(support)::DOUBLE AS t FROM s) t", "g4", "y", regs=(8, "s", 8), gamma=">= 8"))
+def method_report(spark, sf_dir):
+    from . import report
+
+    return rounded(rounded(report.methods(fwd_of(spark, sf_dir, "g4"), 8, 8), "estimate", "bias", digits=2), "rel_error", "coverage", digits=9)
+
+
+@query("relative_error_edge_cases", "SELECT * FROM (VALUES (1, 0.0::DOUBLE, 0.0::DOUBLE), (2, 'inf'::DOUBLE, 5.0::DOUBLE), (3, 0.25::DOUBLE, -1.0::DOUBLE), (4, 0.5::DOUBLE, 2.0::DOUBLE)) t(k, rel_error, bias)")
+def relative_error_edge_cases(spark, sf_dir):
+    cases = spark.createDataFrame([(1, 0.0, 0), (2, 5.0, 0), (3, 3.0, 4), (4, 6.0, 4)], "k int, e double, t bigint")
+    return cases.select("k", scalars.relative_error(F.col("e"), F.col("t")).alias("rel_error"), scalars.bias(F.col("e"), F.col("t")).alias("bias"))
+
+
+@query("speed_verdict", "SELECT * FROM (VALUES (1, 'GO'), (2, 'MARGINAL'), (3, 'NO-GO')) t(k, verdict)")
+def speed_verdict(spark, sf_dir):
+    cases = spark.createDataFrame([(1, 50.0, 100.0, 200.0, 300.0), (2, 80.0, 100.0, 200.0, 300.0), (3, 120.0, 100.0, 200.0, 110.0)], "k int, h double, e double, s double, l double")
+    return cases.select("k", scalars.verdict(F.col("h"), F.col("e"), F.col("s"), F.col("l")).alias("verdict"))
+
+
+@query("best_gamma", "SELECT 64 AS gamma, CAST(2.0 AS DOUBLE) AS speedup")
+def best_gamma(spark, sf_dir):
+    from . import report
+
+    runs = spark.createDataFrame([(32, 80.0), (64, 50.0), (128, 50.0), (256, 90.0)], "gamma int, time double")
+    return report.best(runs, 100.0)
+
+
+@query("repeat_statistics", "SELECT method, avg(t) AS mean, round(stddev_pop(t), 9) AS std, median(t) AS median FROM (VALUES ('a', 1.0::DOUBLE), ('a', 2.0::DOUBLE), ('a', 6.0::DOUBLE), ('b', 4.0::DOUBLE)) x(method, t) GROUP BY method")
+def repeat_statistics(spark, sf_dir):
+    from . import report
+
+    runs = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), ("b", 4.0)], "method string, t double")
+    return rounded(report.repeats(runs), "std", digits=9)
+
+
+@query("native_hll")
+def native_hll(spark, sf_dir):
+    return sketches.native_hll(fwd_of(spark, sf_dir))
+
+
+@query("native_theta_intersection")
+def native_theta_intersection(spark, sf_dir):
+    fwd = fwd_of(spark, sf_dir)
+    return sketches.native_theta(fwd, graph.edge_costs(fwd).where("proxy >= 64").select("src", "dst"))
