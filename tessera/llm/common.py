@@ -128,13 +128,50 @@ def spans_of(is_word: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, at)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def forest(edges: DataFrame, tasks: int) -> DataFrame:
+    """(a, b): each task's own components of its edges, every node linked to the smallest one of its component there.
+
+    Rows are dealt to ``tasks`` by no key, so a task holds the same share whatever a hub's degree is.
+    """
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        a, b = (np.concatenate([np.asarray(x.column(c)) for x in held]) for c in ("a", "b"))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        root = np.arange(len(ids))
+        while True:  # hook the larger root to the smaller, then point every node at its root
+            u, v = root[x], root[y]
+            if (u == v).all():
+                break
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+            while (root[root] != root).any():
+                root = root[root]
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        for k in range(0, len(own), 100_000):
+            part = own[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ids[root[part]])], ["a", "b"])
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def components(edges: DataFrame, rounds: int = 60, share: int = 1_000_000) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (id, component), the smallest id reachable.
 
-    Alternates large-star and small-star, which keeps the number of edges bounded, until nothing changes;
-    a hub's edges are only ever combined through partial minima, so that no task holds its neighbours.
+    Tasks first reduce about ``share`` edges each to a forest. If that took one task, it is the result; else large-star and
+    small-star alternate until nothing changes. A hub's edges are only ever combined through partial minima, so that no
+    task holds all its neighbours.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut(edges.where("a <> b").select("a", "b"))
+    n = now.count()
+    tasks = max(1, -(-n // share))
+    now = cut(forest(now, tasks))
+    if tasks == 1:
+        minima = now.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))).alias("x")).select("x.*")
+        return minima.distinct()
     known = None
     for _ in range(rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -149,4 +186,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         known = (state.n, state.s)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+    links = now.groupBy("a").agg(F.min("b").alias("component"))
+    return links.select(F.col("a").alias("id"), "component").unionByName(links.select(F.col("component").alias("id"), "component").distinct())

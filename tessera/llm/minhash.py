@@ -33,6 +33,8 @@ class Settings:
     percent: int = 80
     bands: int = 32
     rows: int = 4
+    #: A shingle of so many documents or fewer, among those still to be settled, is rare: its pairs are listed.
+    rare: int = 8
 
     @property
     def size(self) -> int:
@@ -118,7 +120,7 @@ def sketches(docs: DataFrame, s: Settings, doc: str = "doc_id", text: str = "tex
 
 def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, doc: str, text: str) -> DataFrame:
     """(id, s): the full shingle sets, as sorted 64-bit numbers, of the documents in ``ids``."""
-    rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("__text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(doc).alias("id"), F.col(text).alias("__text")).join(ids.hint("merge"), "id", "left_semi")  # ids grow with the input: never broadcast
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,10 +133,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, s: Settings, doc: str, text: str) -
     return rows.mapInArrow(run, f"id {kind}, s binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings, doc: str, text: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(sets_of(docs, ids, s, doc, text))
     kind = pairs.schema["a"].dataType.simpleString()
     full = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
@@ -152,41 +152,87 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings, doc: str, text: str
     return full.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def alike(a: str, b: str, s: Settings):
-    return 100 * F.least(a, b) >= s.percent * F.greatest(a, b)
+def possible(n: str, c: str, na: str, ca: str, s: Settings):
+    """Whether two sets of n and na shingles, c and ca of them not theirs alone, can reach the similarity: what they share is no more than the least of c and ca."""
+    return (100 + s.percent) * F.least(c, ca) >= s.percent * (F.col(n) + F.col(na))
+
+
+def exploded(sets: DataFrame) -> DataFrame:
+    """(id, h): a row for each shingle."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([len(x.as_buffer()) // 8 for x in batch.column("s")], np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            flat = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("s")), np.int64)
+            row = 0
+            while row < len(size):  # about a million rows at a time
+                end = max(row + 1, int(np.searchsorted(at, at[row] + 1_000_000, "right")) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(row, end), size[row:end]))), pa.array(flat[at[row] : at[end]])], ["id", "h"])
+                row = end
+
+    return sets.select("id", "s").mapInArrow(run, f"id {kind}, h long")
+
+
+def lone_shingles(sets: DataFrame) -> DataFrame:
+    """(id, lone): how many shingles of each set none of the others has; a set without any is left out."""
+    lone = exploded(sets).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    return lone.groupBy("id").agg(F.count("*").alias("lone"))
+
+
+def rare_shingles(sets: DataFrame, most: int) -> DataFrame:
+    """(h, ids): the shingles that ``most`` sets or fewer have, and those sets."""
+    rows = exploded(sets)
+    few = cut(rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") <= most).select("h"))
+    return rows.join(few, "h").groupBy("h").agg(F.collect_list("id").alias("ids"))
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n_shingles, component_id, kept) for each row of ``docs``.
 
-    Rows with equal sets form a class, and only one row of a class goes on. In each bucket of a band all members are
-    verified against the member that shares most buckets overall; what is still in another component than most of its
-    bucket is then verified against the members of other components there, so that every pair that shares a bucket is
-    either connected or refuted, without all pairs of a group. Null and empty texts are linked with nothing; rows that
-    share an id count as one document; rows without an id are not compared and get a null component.
+    Rows with equal sets form a class, and only one row of a class goes on. Shingles that only one of the documents in
+    shared buckets has are in no intersection; their number bounds what any pair shares, and rules out most that share a
+    passage alone. In each bucket all members are verified against the one that shares most buckets (fewest lone shingles
+    on ties); of what is still in another component than most of its bucket, the pairs that share a rare shingle are verified,
+    and those that share a bucket and enough other shingles to be possible. So every pair that shares a bucket is either connected or refuted, without all pairs of a group.
+    Null and empty texts are linked with nothing; rows that share an id count as one document; rows without an id are not
+    compared and get a null component.
     """
     sk = cut(sketches(docs, s, doc, text))
     classes = cut(sk.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     reps = sk.where("n > 0").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     places = reps.select("id", "n", F.explode("keys").alias("key"))
-    crowded = places.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    crowded = places.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     shared = cut(places.join(crowded, "key"))
-    score = shared.groupBy("id").agg(F.sum("c").alias("score"))
-    rated = cut(shared.join(score, "id"))
-    lead = rated.groupBy("key").agg(F.max(F.struct("score", "id", "n")).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
-    star = cut(rated.join(lead, "key").where((F.col("id") != F.col("a")) & alike("n", "na", s)).select("a", F.col("id").alias("b")).distinct())
-    links = cut(verified(star, docs, s, doc, text))
-    comp = components(links).select("id", "component")
-    now = rated.select("id", "n", "key").join(comp, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("comp"))
-    now = cut(now)
+    sets = cut(sets_of(docs, shared.select("id").distinct(), s, doc, text).dropDuplicates(["id"]))
+    lone = cut(lone_shingles(sets))
+    alive = cut(shared.join(lone, "id", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone").where(100 * F.col("c") >= s.percent * F.col("n")))
+    size = alive.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    crowd = cut(alive.join(size, "key"))
+    score = crowd.groupBy("id").agg(F.sum("m").alias("score"))
+    rated = cut(crowd.drop("m").join(score, "id"))
+    lead = rated.groupBy("key").agg(F.max(F.struct("score", (F.col("c") - F.col("n")).alias("own"), "id", "n", "c")).alias("l")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"))
+    star = cut(rated.join(lead, "key").where((F.col("id") != F.col("a")) & possible("n", "c", "na", "ca", s)).select("a", F.col("id").alias("b")).distinct())
+    links = cut(verified(star, sets, s))
+    comp = cut(components(links))
+    now = cut(rated.select("id", "n", "c", "key").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
     per = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("k")).where("k > 1").select("key", F.col("most.comp").alias("main"))
     open_ = cut(now.join(per, "key"))
-    minor = open_.where("comp <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    met = minor.join(open_, "key").where(alike("n", "na", s) & (F.col("comp") != F.col("ca")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id"))))
+    # pairs that share a rare shingle are few and are listed; all others share nothing but what is not rare, which bounds them
+    members = cut(open_.select("id", "comp").distinct())
+    rare = cut(rare_shingles(sets.join(members.select("id").hint("merge"), "id", "left_semi"), s.rare))
+    owned = rare.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("r"))
+    open_ = cut(open_.join(owned, "id", "left").withColumn("core", F.col("n") - F.coalesce("r", F.lit(0))).drop("r"))
+    two = rare.where(F.size("ids") > 1).select(F.array_sort("ids").alias("ids")).distinct()  # copies share many shingles with the same owners
+    two = two.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("id")).where("a < id").distinct()
+    two = two.join(members.toDF("a", "x"), "a").join(members.toDF("id", "y"), "id").where("x <> y").select("a", "id")
+    minor = open_.where("comp <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("core").alias("ca"), F.col("comp").alias("other"))
+    met = minor.join(open_, "key").where(possible("n", "core", "na", "ca", s) & (F.col("comp") != F.col("other")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("id"))))
     tried = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(met.select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    more = verified(rest, docs, s, doc, text)
-    comp = components(links.unionByName(more))
+    rest = cut(met.select("a", "id").unionByName(two).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        comp = cut(components(links.unionByName(verified(rest, sets, s))))
     whole = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     out = sk.select("id", "n", "f1", "f2").join(whole, ["n", "f1", "f2"], "left")
     cid = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
