@@ -12,13 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix64, slices
 
-LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
 
 
@@ -149,7 +147,7 @@ def identify(df: DataFrame, model: Model, settings: Settings = Settings(), text:
         for batch in batches:
             for part, _, _ in slices(batch, "__text", 1 << 19):
                 texts = part.column("__text").to_pylist()
-                found = [bool(m.languages) and x is not None and LETTER.search(x) is not None for x in texts]
+                found = [bool(m.languages) and x is not None and any(map(str.isalpha, x)) for x in texts]
                 langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if at := [k for k, ok in enumerate(found) if ok]:
                     got, post = score_texts([texts[k] for k in at], m, settings)
