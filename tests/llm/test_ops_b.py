@@ -151,6 +151,75 @@ def test_lm_gradient():
         assert abs((loss(net.flat + d) - loss(net.flat - d)) / 2e-2 - step[k]) < 2e-2
 
 
+def grown(spark, texts, s):
+    docs = awkward(spark, texts)
+    lex = lm.lexicon(docs, s)
+    return docs, lex, lm.train(docs, lex, s)
+
+
+def scored(text, lex, net, s):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    _, cls, ctx, below, _ = lm.read(raw, np.array([0, len(raw)]), lm.hasher(), lex, s)
+    return net.log_prob(ctx, cls, below)
+
+
+def test_lm_tells_all_words_apart(spark):
+    s = lm.Settings()
+    n = 300_000
+    texts = [" ".join(f"v{k}" for k in range(a, a + 1000)) for a in range(0, n, 1000)]
+    docs, lex, net = grown(spark, texts, s)
+    tree = lex.tree
+    assert len(lex.of) == n + 1 and len(set(zip(lex.of.tolist(), tree.node.tolist(), tree.digit.tolist(), strict=True))) == n + 1
+    ids, _ = lm.tokens(np.frombuffer(texts[7].encode(), np.uint8), np.array([0, len(texts[7])]), lm.hasher(), s)
+    found = tree.find(ids)
+    assert len(set(found.tolist())) == 1000 and n not in found
+    by_class = {}
+    for word, c in zip(texts[7].split(), lex.of[found].tolist(), strict=True):
+        by_class.setdefault(c, []).append(word)
+    a, b = next(x for x in by_class.values() if len(x) > 1)[:2]
+    swapped = texts[7].replace(a + " ", "? ").replace(b + " ", a + " ").replace("? ", b + " ")
+    assert swapped != texts[7]
+    one, two = (x["log_prob"] for x in collected(lm.score(awkward(spark, [texts[7], swapped]), lex, net, s)))
+    assert one != two
+
+
+def test_lm_context_reaches_the_word(spark):
+    """Pairs of words of equal count, so that only their partner tells which of a class comes."""
+    r = rng(8)
+    texts = [" ".join(f"l{k} r{k}" for k in (r.randrange(100) for _ in range(30))) for _ in range(600)]
+    s = lm.Settings(classes=4, batch=64, rounds=2)
+    docs, lex, net = grown(spark, texts, s)
+    vocabulary = [f"{x}{k}" for x in "lr" for k in range(100)] + ["never"]
+    assert abs(sum(np.exp(scored(f"l3 r3 {w} r5 l9", lex, net, s)[2]) for w in vocabulary) - 1) < 1e-4
+    blank = lm.Net(s, np.zeros_like(net.flat), lex.levels)
+    with_context, without = (sum(scored(t, lex, x, s).sum() for t in texts[:50]) for x in (net, blank))
+    assert with_context > without + 50 * 60 * 0.3
+    got = collected(lm.score(docs, lex, net, s))
+    assert all(abs(x["log_prob"] - scored(t, lex, net, s).sum()) < 1e-3 * abs(x["log_prob"]) for x, t in zip(got[:20], texts, strict=False))
+
+
+def test_lm_gradient_below_the_classes():
+    s = lm.Settings(classes=3, hidden=3, sides=2)
+    r = np.random.default_rng(1)
+    keys = np.sort(r.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+    of, tree = lm.planted(keys, r.integers(1, 50, 400), s)
+    ids = r.integers(0, 401, 60)
+    digits, nodes = tree.paths(np.pad(ids, 2))
+    nodes[:, [0, 1, -1, -2]] = -1
+    below, cls = lm.Below(digits, nodes, tree.log_count), of[ids].astype(np.int64)
+    ctx = lm.contexts(cls, np.array([0, 25, 60]), s)
+    start = lm.Net(s, levels=tree.levels)
+    start = lm.Net(s, start.flat + r.normal(0, 0.3, len(start.flat)), tree.levels)
+    moved = lm.Net(s, start.flat, tree.levels)
+    moved.step(ctx, cls, 1e-2, below)
+    step = (start.flat - moved.flat) / 1e-2
+    for k in range(0, len(start.flat), 5):
+        d = np.zeros(len(start.flat), np.float32)
+        d[k] = 1e-2
+        up, down = (-lm.Net(s, start.flat + x, tree.levels).log_prob(ctx, cls, below).mean() for x in (d, -d))
+        assert abs((up - down) / 2e-2 - step[k]) < 5e-3
+
+
 # ---- pipeline
 
 
