@@ -453,3 +453,101 @@ def native_hll(spark, sf_dir):
 def native_theta_intersection(spark, sf_dir):
     fwd = fwd_of(spark, sf_dir)
     return sketches.native_theta(fwd, graph.edge_costs(fwd).where("proxy >= 64").select("src", "dst"))
+
+
+# ---- the operators above that run on g4, on the whole of g1 with the thresholds of the published sweep
+
+
+WEDGES = "FROM f a JOIN f b ON a.dst = b.src JOIN f c ON c.src = a.src AND c.dst = b.dst"
+
+
+@query("degree_one_nodes_g1", sql.with_graph("SELECT count(*) AS degree_1_nodes FROM d WHERE deg = 1"))
+def degree_one_nodes_g1(spark, sf_dir):
+    return graph.degree_summary(deg_of(spark, sf_dir)).select("degree_1_nodes")
+
+
+@query("symmetric_edges_g1", sql.with_graph("SELECT u, v FROM e UNION ALL SELECT v, u FROM e"))
+def symmetric_edges_g1(spark, sf_dir):
+    return graph.symmetric(fixtures.part_graph(spark, sf_dir))
+
+
+@query("edges_by_cost_g1", sql.with_graph("SELECT src, dst, proxy FROM c"))
+def edges_by_cost_g1(spark, sf_dir):
+    return graph.by_cost(graph.edge_costs(fwd_of(spark, sf_dir)), 8).select("src", "dst", "proxy")
+
+
+@query("triangles_wedge_join_g1", sql.with_graph(f"SELECT count(*) AS triangles {WEDGES}"))
+def triangles_wedge_join_g1(spark, sf_dir):
+    return triangles.wedges(fwd_of(spark, sf_dir))
+
+
+@query("edge_support_g1", sql.with_graph("SELECT src, dst, support FROM s", "g1", "s"))
+def edge_support_g1(spark, sf_dir):
+    return triangles.edge_support(fwd_of(spark, sf_dir))
+
+
+@query("triangle_edge_score_div3_g1", sql.with_graph("SELECT (SELECT count(*) FROM e JOIN b x ON e.u = x.u JOIN b y ON e.v = y.u AND x.v = y.v) / 3.0::DOUBLE AS triangles", "g1", "b"))
+def triangle_edge_score_div3_g1(spark, sf_dir):
+    return triangles.edge_score_third(fixtures.part_graph(spark, sf_dir))
+
+
+@query("triangle_list_g1", sql.with_graph(f"SELECT a.src AS a, a.dst AS b, b.dst AS c {WEDGES}"))
+def triangle_list_g1(spark, sf_dir):
+    return triangles.listed(fwd_of(spark, sf_dir))
+
+
+@query("registers_c_p10_g1", sql.with_graph("SELECT node, j, rho FROM r", "g1", "r", regs=(10, "c", 0)))
+def registers_c_p10_g1(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir), 10, C)
+
+
+@query("registers_x_p8_g1", sql.with_graph("SELECT node, j, rho FROM r", "g1", "r", regs=(8, "x", 0)))
+def registers_x_p8_g1(spark, sf_dir):
+    return sketches.registers(fwd_of(spark, sf_dir), 8, X)
+
+
+@query("pure_hll_c_g1", sql.with_graph("SELECT round(sum(s_clamped), 1) AS total, count(*) AS n_edges, CAST(sum(CASE WHEN s_hat <> s_clamped THEN 1 ELSE 0 END) AS BIGINT) AS n_clamped FROM x", "g1", "x", regs=(8, "c", 0), gamma=">= 0", domain=32))
+def pure_hll_c_g1(spark, sf_dir):
+    return rounded(hybrid.pure(fwd_of(spark, sf_dir), 8, C), "total", digits=1)
+
+
+@query("all_hll_x_g1", sql.with_graph("SELECT round(sum(s_clamped), 1) AS total, count(*) AS n_edges FROM x", "g1", "x", regs=(8, "x", 0), gamma=">= 0", domain=0, exact=False, upper=False, remap=True))
+def all_hll_x_g1(spark, sf_dir):
+    fwd = graph.orient(sources.remap(fixtures.part_graph(spark, sf_dir)))
+    return rounded(hybrid.pure(fwd, 8, X), "total", digits=1).select("total", "n_edges")
+
+
+@query("hybrid_x_light_heavy_g1", sql.with_graph("SELECT round(sum(s_clamped), 1) AS total, CAST(sum(CASE WHEN hll THEN 0 ELSE 1 END) AS BIGINT) AS light, CAST(sum(CASE WHEN hll THEN 1 ELSE 0 END) AS BIGINT) AS heavy FROM y", "g1", "y", regs=(8, "x", 0), gamma="> 64", domain=0, exact=False, upper=False, remap=True))
+def hybrid_x_light_heavy_g1(spark, sf_dir):
+    fwd = graph.orient(sources.remap(fixtures.part_graph(spark, sf_dir)))
+    return rounded(hybrid.hybrid(fwd, 64, 8, X).select("total", F.col("n_exact").alias("light"), F.col("n_approx").alias("heavy")), "total", digits=1)
+
+
+@query("hybrid_edge_details_g1", sql.with_graph("SELECT src, dst, deg_u, deg_v, proxy, CASE WHEN hll THEN 'hll' ELSE 'exact' END AS method, round(s_hat, 6) AS s_hat, round(s_clamped, 6) AS s_clamped FROM y", "g1", "y", regs=(8, "s", 64), gamma=">= 64"))
+def hybrid_edge_details_g1(spark, sf_dir):
+    return rounded(hybrid.edge_details(fwd_of(spark, sf_dir), 64, 8, S).drop("wanted"), "s_hat", "s_clamped", digits=6)
+
+
+@query("hybrid_sweep_p_gamma_g1")  # no SQL: a test holds each setting against it on the smallest tables
+def hybrid_sweep_p_gamma_g1(spark, sf_dir):
+    from . import report
+
+    return rounded(hybrid.sweep(fwd_of(spark, sf_dir), report.SWEEP), "total", digits=2)
+
+
+@query("hybrid_fallback_g1", sql.with_graph(sql.hybrid_stats(), "g1", "y", regs=(8, "s", 68), gamma=">= 64", theta=68))
+def hybrid_fallback_g1(spark, sf_dir):
+    out = hybrid.hybrid(fwd_of(spark, sf_dir), 64, 8, S, theta=68).select(*STATS)
+    return rounded(rounded(out, "total", digits=2), "approx_coverage", "fallback_ratio", "clamp_ratio", digits=9)
+
+
+@query("doulion_repeated_stats_g1", sql.doulion_repeated(0.1, g="g1"))
+def doulion_repeated_stats_g1(spark, sf_dir):
+    return rounded(sampling.doulion_repeated(fwd_of(spark, sf_dir), 0.1), "mean_estimate", "std_estimate")
+
+
+@query("method_report_g1", sql.with_graph("SELECT m.method, round(m.estimate, 2) AS estimate, round(abs(m.estimate - t.t) / t.t, 9) AS rel_error, round(m.estimate - t.t, 2) AS bias, round(m.coverage, 9) AS coverage FROM (SELECT 'exact' AS method, (SELECT sum(support) FROM s)::DOUBLE AS estimate, 0.0::DOUBLE AS coverage UNION ALL SELECT 'hybrid', (SELECT sum(s_clamped) FROM y), (SELECT avg(CASE WHEN hll THEN 1.0 ELSE 0.0 END) FROM y)) m, (SELECT sum(support)::DOUBLE AS t FROM s) t", "g1", "y", regs=(8, "s", 64), gamma=">= 64"))
+def method_report_g1(spark, sf_dir):
+    from . import report
+
+    return rounded(rounded(report.methods(fwd_of(spark, sf_dir), 64, 8), "estimate", "bias", digits=2), "rel_error", "coverage", digits=9)

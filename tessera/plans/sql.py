@@ -140,8 +140,8 @@ def doulion(q: float, seed: int = 42) -> str:
     return f"WITH e AS MATERIALIZED ({EDGE_SQL['g1']}), {kept} SELECT round((SELECT count(*) FROM k a JOIN k b ON a.v = b.u JOIN k c ON c.u = a.u AND c.v = b.v) / {q**3!r}::DOUBLE, 3) AS estimate"
 
 
-def doulion_repeated(q: float, n: int = 10, base: int = 42) -> str:
+def doulion_repeated(q: float, n: int = 10, base: int = 42, g: str = "g4") -> str:
     kept = f"k AS MATERIALIZED (SELECT seed, u, v FROM e, (SELECT unnest(range({base}, {base + n})) AS seed) WHERE {coin('u', 'v', 'seed')} < {int(q * UNIT)})"
     t = "SELECT seed, count(*) AS t FROM k a JOIN k b USING (seed) JOIN k c USING (seed) WHERE a.v = b.u AND c.u = a.u AND c.v = b.v GROUP BY seed"
     est = f"SELECT coalesce(t, 0) / {q**3!r}::DOUBLE AS x FROM (SELECT unnest(range({base}, {base + n})) AS seed) s LEFT JOIN ({t}) t USING (seed)"
-    return f"WITH e AS MATERIALIZED ({EDGE_SQL['g4']}), {kept} SELECT {q!r}::DOUBLE AS q, count(*) AS n_seeds, round(avg(x), 3) AS mean_estimate, round(stddev_pop(x), 3) AS std_estimate FROM ({est})"
+    return f"WITH e AS MATERIALIZED ({EDGE_SQL[g]}), {kept} SELECT {q!r}::DOUBLE AS q, count(*) AS n_seeds, round(avg(x), 3) AS mean_estimate, round(stddev_pop(x), 3) AS std_estimate FROM ({est})"
