@@ -17,18 +17,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written so that it stays the same: ids may be null or repeated."""
+    return common.cut(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group (five-word shingles); repeated rows count once, rows without an id stay."""
-    named = docs.where("doc_id is not null")
-    found = minhash.near_duplicates(named, minhash.Settings(shingle=5)).where("kept").select("doc_id")
-    return named.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Keeps the document with the smallest id of each near-duplicate group (five-word shingles); rows without an id stay.
+
+    Rows are told apart by their number: different texts under one id both stay, and equal rows count once.
+    """
+    rows = numbered(docs)
+    named = rows.where("doc_id is not null")
+    found = common.cut(minhash.near_duplicates(named, minhash.Settings(shingle=5), doc="row").select("row", "n_shingles", "component_id"))
+    facts = named.select("row", "doc_id", F.sha2("text", 256).alias("same")).join(found, "row")
+    # a text without shingles is near to nothing, but equal to its own copies under the same id
+    bare = F.coalesce(F.col("n_shingles"), F.lit(0)) == 0
+    group = [F.when(~bare, F.col("component_id")).alias("c"), F.when(bare, F.col("doc_id")).alias("d"), F.when(bare, F.col("same")).alias("t")]
+    kept = facts.groupBy(*group).agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return named.join(kept, "row", "left_semi").select(*COLUMNS).unionByName(rows.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more lies in windows of benchmark items."""
-    flags = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    bad = flags.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad), "left_anti").select(*COLUMNS)
+    """Drops documents of which a twentieth or more lies in windows of benchmark items; each row is judged by itself."""
+    rows = numbered(docs)
+    flags = decontaminate.decontaminate(rows, common.table(spark, sf_dir, "benchmark"), doc="row")
+    return rows.join(flags.where("contaminated").select("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,8 +95,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
 
     A word is hit inside any occurrence of a window; contaminated: some word is hit, and a twentieth of all words or more.
     Null or empty texts have no words; repeated items share windows and each counts; an empty benchmark hits nothing.
+    Rows that share an id are pooled, as the SQL has it; rows without an id are judged each by itself.
     """
     wins = cut(windows(items, item, item_text))
+    nameless = docs.where(F.col(doc).isNull())
+    if nameless.isEmpty():
+        return judged(docs, wins, doc, text)
+    apart = cut(nameless.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("t")))
+    alone = judged(apart, wins, "row", "t").withColumn("row", F.lit(None).cast(docs.schema[doc].dataType)).withColumnRenamed("row", doc)
+    return judged(docs.where(F.col(doc).isNotNull()), wins, doc, text).unionByName(alone)
+
+
+def judged(docs: DataFrame, wins: DataFrame, doc: str, text: str) -> DataFrame:
+    """``decontaminate`` by the windows of ``windows``; rows that share an id are pooled."""
     at = cut(occurrences(docs, wins, doc, text))
     places = at.select("doc", "start", "len").distinct().withColumn("end", F.col("start") + F.col("len"))
     before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import SF, awkward, collected, rng, words
+from helpers import DOCS, SF, awkward, collected, rng, words
 from pyspark.sql import functions as F
 from test_ops_a import brute_components, docs_of, expected, library, oracle, same
 
@@ -262,3 +262,25 @@ def test_pipeline_stages_take_awkward_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = common.cut(stage(spark, now, SF))
         assert now.count() == now.select("doc_id").distinct().count() <= 2
+
+
+def test_rows_without_id_are_judged_apart(spark):
+    items = common.table(spark, SF, "benchmark")
+    dirty = next(r.text for r in items.where("text is not null").orderBy("item_id").collect() if len(r.text.split()) >= 20)
+    clean = [f"clean number {k} has its own words and none of any benchmark" for k in range(3)]
+    docs = spark.createDataFrame([(None, dirty, "en", "s", 1), (None, clean[0], "en", "s", 1), (5, dirty, "en", "s", 1), (5, clean[1], "en", "s", 1), (6, clean[2], "en", "s", 1)], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    assert sorted(r.text for r in stage(spark, docs, SF).collect()) == clean
+    flags = [(r.doc_id, r.n_words, r.contaminated) for r in decontaminate.decontaminate(docs, items).where("doc_id is null").collect()]
+    assert sorted(flags, key=str) == sorted([(None, len(clean[0].split()), False), (None, flags[0][1] if flags[0][2] else flags[1][1], True)], key=str)
+    assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_dedup_keeps_different_texts_under_one_id(spark):
+    r = rng(21)
+    a, b, c = (words(r, 60, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (3, "short one"), (3, "short one"), (3, "short two"), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
+    want = [(1, a), (1, b), (3, c), (3, "short one"), (3, "short two"), (None, c), (None, c)]
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
