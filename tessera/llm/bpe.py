@@ -2,13 +2,14 @@
 
 ``lookahead`` computes from the merge list how many characters to the right can still change a token: tokens that end
 at least so far before the end of what has been read are stable and are emitted, so that memory stays constant for any
-length of input. ``Decoder`` is an incremental byte-to-text state machine.
+length of input. ``Vocabulary.transduce`` runs one such transducer for each new word, many in step; ``Vocabulary.stream`` is
+the same for a single word that comes piece by piece. ``Decoder`` is an incremental byte-to-text state machine that feeds on
+ids; ``Strings`` is its counterpart under the library's rule for a file without a decoder.
 """
 
 from __future__ import annotations
 
 import codecs
-import gc
 import hashlib
 import json
 import re
@@ -20,9 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import slices
+from .common import beside, pieces
 
 SPACE = "\t-\r \x85\xa0  -     　"
 SPLIT_SPACE = re.compile(f"[{SPACE}]+")
@@ -57,7 +57,7 @@ class Vocabulary:
 
     BITS, FIB = 20, np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 300_000) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -84,7 +84,18 @@ class Vocabulary:
                 if self.slot_key[slot + step] < 0:
                     break
             self.slot_key[slot + step], self.slot_rank[slot + step], self.longest = key, k, max(self.longest, step + 1)
-        self.token_list = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        every = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.letters_of = np.array([len(t.removesuffix(self.suffix)) if self.suffix and t.endswith(self.suffix) else len(t) for t in every], np.int64)
+        # what a token stands for: its string with a blank behind, and its bytes with a blank for the word's end
+        self.strings = table_of([(t + " ").encode("utf-8", "surrogatepass") for t in every])
+        self.plain = table_of([self.bytes_for(t) for t in every])
+
+    def bytes_for(self, token: str) -> bytes:
+        if token in self.special:
+            return token.encode()
+        end = bool(self.suffix) and token.endswith(self.suffix)
+        body = token[: -len(self.suffix)] if end else token
+        return bytes(self.bytes_of[c] for c in body if c in self.bytes_of) + b" " * end
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
@@ -105,12 +116,12 @@ class Vocabulary:
                 rank[k] = ranks.get((symbols[k], symbols[k + 1]), top)
         return symbols
 
-    def bulk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words at once and the offsets of each word: in every pass each word that still has a pair in the list merges its pair of lowest rank, leftmost first."""
+    def bulk(self, words: list[bytes], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words (``whole``) or beginnings of words at once and the offsets of each: in every pass each that still has a pair in the list merges its pair of lowest rank, leftmost first."""
         size = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.first[raw]
-        last = np.cumsum(size) - 1
+        last = (np.cumsum(size) - 1)[whole]
         symbols[last] = self.first_at_end[raw[last]]
         which = np.repeat(np.arange(len(words)), size)
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,6 +178,32 @@ class Vocabulary:
             held[-1] += self.suffix
             yield from self.merged(held)
 
+    def transduce(self, words: list[bytes], block: int = 0) -> list[bytes]:
+        """Ids (little-endian) of each word by a transducer for each, in step: of every word a block is read, what is stable is emitted, and the rest is read again with the next block."""
+        block = max(block, 1) if block else 4 * self.ahead
+        out: list[list[bytes]] = [[] for _ in words]
+        live, begin, reach = list(range(len(words))), [0] * len(words), [block] * len(words)
+        while live:
+            held = [words[k][begin[k] : begin[k] + self.ahead + reach[k] + 1] for k in live]
+            whole = np.array([begin[k] + len(h) == len(words[k]) for k, h in zip(live, held, strict=True)], bool)
+            ids, at = self.bulk(held, whole)
+            raw, at = ids.astype("<u4").tobytes(), at.tolist()
+            on = []
+            for j, (k, ends) in enumerate(zip(live, whole.tolist(), strict=True)):
+                if ends:
+                    out[k].append(raw[4 * at[j] : 4 * at[j + 1]])
+                    continue
+                done = np.cumsum(self.letters_of[ids[at[j] : at[j + 1]]])
+                n = int(np.searchsorted(done, len(held[j]) - self.ahead - 1, "right"))
+                if n:
+                    out[k].append(raw[4 * at[j] : 4 * (at[j] + n)])
+                    begin[k] += int(done[n - 1])
+                else:
+                    reach[k] *= 2
+                on.append(k)
+            live = on
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
     def words(self, chunk: str) -> list[str]:
         """Words of a run without white space."""
         chunk = chunk.lower() if chunk.isascii() else lowered(unicodedata.normalize("NFC", chunk))
@@ -183,26 +220,17 @@ class Vocabulary:
                 yield False, part.split()
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the ids (little-endian) and tokens (a blank between) of each new run into the cache."""
+        """Put the ids (little-endian) of each new run into the cache."""
         split = {c: [w.encode("utf-8", "surrogatepass") for w in self.words(c)] for c in chunks}
-        fresh = list({w for ws in split.values() for w in ws} - self.known.keys())
-        brief = [w for w in fresh if len(w) <= 64]
-        ids, at = self.bulk(brief)
-        raw, lt = ids.astype("<u4").tobytes(), self.token_list
-        ids, at = ids.tolist(), at.tolist()
-        for k, w in enumerate(brief):
-            self.known[w] = raw[4 * at[k] : 4 * at[k + 1]], " ".join([lt[i] for i in ids[at[k] : at[k + 1]]])
-        for w in fresh:
-            if len(w) > 64:
-                symbols = "".join([self.letters[b] for b in w])
-                tokens = list(self.stream(symbols[k : k + 4096] for k in range(0, len(symbols), 4096)))
-                self.known[w] = np.array([self.ids[t] for t in tokens], "<u4").tobytes(), " ".join(tokens)
+        known = self.known
+        fresh = list({w for ws in split.values() for w in ws} - known.keys())
+        for a in range(0, len(fresh), 50_000):
+            known.update(zip(fresh[a : a + 50_000], self.transduce(fresh[a : a + 50_000]), strict=True))
         for c, ws in split.items():
-            got = [self.known[w] for w in ws]
-            self.cache[c] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+            self.cache[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids as little-endian bytes, and the tokens with a blank between, of each text."""
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes."""
         if len(self.cache) + len(self.known) > self.most:
             self.cache, self.known = {}, {}
         runs = [list(self.runs(t)) for t in texts]
@@ -214,42 +242,90 @@ class Vocabulary:
         self.learn(seen - self.cache.keys())
         cache, out = self.cache, []
         for parts in runs:
-            got: list[tuple[bytes, str]] = []
+            got: list[bytes] = []
             for special, chunks in parts:
-                got += [(np.array([self.special[chunks[0]]], "<u4").tobytes(), chunks[0])] if special else [cache[c] for c in chunks]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
-        for long in [c for c in seen if len(c) > 256]:
-            del cache[long]
-        for long in [w for w in self.known if len(w) > 256] if any(len(c) > 256 for c in seen) else []:
-            del self.known[long]
+                got += [self.special[chunks[0]].to_bytes(4, "little")] if special else [cache[c] for c in chunks]
+            out.append(b"".join(got))
+        if long := [c for c in seen if len(c) > 256]:
+            for c in long:
+                del cache[c]
+            for w in [w for w in self.known if len(w) > 256]:
+                del self.known[w]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0][0], "<u4").tolist()
+        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library without a decoder: the tokens' strings with a blank between."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        machine = Strings(self)
+        return (machine.feed(np.fromiter((i for i in ids if i in self.tokens), np.int64)) + machine.end()).decode("utf-8", "surrogatepass")
+
+
+def table_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all parts, where each begins, and its length."""
+    size = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+
+def spelt(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    """The parts of a table that ids name, one behind the other."""
+    data, begin, size = table
+    n = size[ids]
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return b""
+    return data[np.arange(ends[-1]) + np.repeat(begin[ids] - (ends - n), n)].tobytes()
+
+
+class Strings:
+    """Incremental decoder under the library's rule for a file without a decoder: the tokens' strings with a blank between, in UTF-8."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.table, self.begun = vocabulary.strings, False
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        """The bytes of these ids; the blank behind the last one waits for the next."""
+        if not len(ids):
+            return b""
+        out = (b" " if self.begun else b"") + spelt(ids, self.table)[:-1]
+        self.begun = True
+        return out
+
+    def end(self) -> bytes:
+        return b""
 
 
 class Decoder:
     """Incremental byte-to-text machine: feeds on ids, gives text as soon as whole characters stand; broken bytes become U+FFFD."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.utf8 = vocabulary, codecs.getincrementaldecoder("utf-8")("replace")
+        self.table, self.utf8 = vocabulary.plain, codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
-        v, token = self.vocabulary, self.vocabulary.tokens.get(token_id, "")
-        if token in v.special:
-            return self.utf8.decode(b"", True) + token
-        end = bool(v.suffix) and token.endswith(v.suffix)
-        body = token[: -len(v.suffix)] if end else token
-        return self.utf8.decode(bytes(v.bytes_of[c] for c in body) + b" " * end)
+    def feed(self, ids: int | np.ndarray) -> str:
+        return self.utf8.decode(spelt(np.atleast_1d(np.asarray(ids, np.int64)), self.table))
 
     def end(self) -> str:
         return self.utf8.decode(b"", True)
 
 
+#: Ids that a decoder takes at once.
+STEP = 1 << 16
+
+
+def decoded_hashes(raw: bytes, v: Vocabulary) -> tuple[str, str]:
+    """SHA-256 of what the library's rule and the byte-to-text machine make of ids, fed in steps."""
+    strings, text = Strings(v), Decoder(v)
+    a, b = hashlib.sha256(), hashlib.sha256()
+    ids = np.frombuffer(raw, "<u4")
+    for k in range(0, len(ids), STEP):
+        part = ids[k : k + STEP].astype(np.int64)
+        a.update(strings.feed(part))
+        b.update(text.feed(part).encode())
+    b.update(text.end().encode())
+    return a.hexdigest(), b.hexdigest()
+
+
 @lru_cache(maxsize=1)
 def letter_classes() -> dict[str, str]:
     r"""Ranges of \p{L} and \p{N} from the interpreter's Unicode tables, as the inside of a character class."""
@@ -288,30 +364,32 @@ def default_path() -> str:
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
-    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row; with ``ids`` also the array token_ids.
+    """``keep``, n_tokens, ids_sha256, decoded_sha256 and plain_sha256 of every row; with ``ids`` also the array token_ids.
 
-    Null and empty texts have no tokens (hashes of nothing). Rows are independent, so ties, repeated rows and empty tables
-    need no care, and columns of ``df`` that are not in ``keep`` are not read. ``path`` must exist on every executor.
+    decoded_sha256 is of the ids decoded by the library's rule, plain_sha256 of the text that the byte-to-text machine gives
+    back: the words as encoded (lower case, NFC), a blank behind each. Null and empty texts have no tokens (hashes of
+    nothing). Rows are independent, so ties, repeated rows and empty tables need no care, and columns of ``df`` that are not
+    in ``keep`` are not read. ``path`` must exist on every executor.
     """
     path = path or default_path()
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(values: pa.Array) -> pa.RecordBatch:
         v = vocabulary(path)
-        gc.disable()  # millions of cached tuples without cycles; walking them is a quarter of the time
-        for batch in batches:
-            for part, _, _ in slices(batch, "__text", 1 << 21):
-                n, a, b, c = [], [], [], []
-                for raw, decoded in v.encode_batch([t or "" for t in part.column("__text").to_pylist()]):
-                    n.append(len(raw) // 4)
-                    a.append(hashlib.sha256(raw).hexdigest())
-                    b.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if ids:
-                        c.append(np.frombuffer(raw, "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(c, pa.list_(pa.int32()))] if ids else [])], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if ids else [])])
-
-    return rows.mapInArrow(run, schema)
+        n, a, b, c, d = [], [], [], [], []
+        for x, y in pieces(values):
+            for raw in v.encode_batch([t or "" for t in values.slice(x, y - x).to_pylist()]):
+                n.append(len(raw) // 4)
+                a.append(hashlib.sha256(raw).hexdigest())
+                strings, plain = decoded_hashes(raw, v)
+                b.append(strings)
+                c.append(plain)
+                if ids:
+                    d.append(np.frombuffer(raw, "<u4").astype(np.int32))
+        cols = [pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c)), *([pa.array(d, pa.list_(pa.int32()))] if ids else [])]
+        return pa.RecordBatch.from_arrays(cols, ["n_tokens", "ids_sha256", "decoded_sha256", "plain_sha256", *(["token_ids"] if ids else [])])
+
+    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string, plain_sha256 string" + ", token_ids array<int>" * ids
+    return df.select(*keep, beside(df, text, found, kinds).alias("__found")).select(*keep, "__found.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -21,14 +22,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: texts vary too much in length for a bound by rows alone.
+BATCH_BYTES = 4 << 20
+
+
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes (a longer row comes alone)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def beside(df: DataFrame, column: str, run: Callable[[pa.Array], pa.RecordBatch], kinds: str) -> Column:
+    """A struct column of what ``run`` finds for each value of ``column``: only that column goes to Python, and only the struct comes back.
+
+    It counts as not deterministic, so that no filter on it is evaluated apart.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def each(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in arrays:
+            found = run(x)
+            yield pa.StructArray.from_arrays(found.columns, found.schema.names)
+
+    each.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, f"struct<{kinds}>").asNondeterministic()(F.col(column))
+
+
+def pieces(values: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of values with about ``most`` bytes; a longer value stands alone."""
+    _, at = utf8(values)
+    row, n = 0, len(values)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        yield row, end
+        row = end
+
+
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``df`` with the least hash of ``key``, and all that tie with the last of them; rows without a key are left out.
+
+    Only hashes and keys are sorted, never what else a row holds.
+    """
+    df = df.where(F.col(key).isNotNull())
+    h = F.xxhash64(key)
+    last = df.select(h.alias("h"), F.col(key).alias("i")).orderBy("h", "i").limit(rows).agg(F.max(F.struct("h", "i")).alias("m")).first().m
+    return df.limit(0) if last is None else df.where((h < last.h) | ((h == last.h) & (F.col(key) <= F.lit(last.i))))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or the context. Only a session within one
+    process (tests), where all folders are shared, gets one of its own where that is unset; on a cluster it must be set."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 

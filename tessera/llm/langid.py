@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, slices
+from .common import U64, beside, least_hashed, mix64, pieces, through
 
 UNDETERMINED = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled sample: the rows with the smallest hash of doc_id among those that may be learnt from."""
+    """``train_rows`` bounds the labelled sample: the rows with the smallest hash of doc_id among those that may be learnt from (all rows of the last id count)."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 15
@@ -30,7 +30,7 @@ class Settings:
     train_rows: int = 12_000
     folds: int = 4
     held_fold: int = 2
-    #: Log-odds are scaled by (n-grams of the text) ** -cooling, as neighbouring n-grams are not independent.
+    #: For ``score`` alone, log-odds are scaled by (n-grams of the text) ** -cooling, as neighbouring n-grams are not independent.
     cooling: float = 0.5
 
 
@@ -70,47 +70,39 @@ def in_text(sizes: np.ndarray, order: int) -> np.ndarray:
 def train(df: DataFrame, settings: Settings = Settings(), text: str = "text", label: str = "lang", doc_id: str = "doc_id") -> Model:
     """Learn from a bounded sample of labelled rows outside the held-out fold.
 
-    Rows without text or label teach nothing. Counts are made on the executors; the driver gets one vector of
-    ``buckets`` counts for each language that the sample has, and an empty sample gives a model without languages.
+    Rows without id, text or label teach nothing. Counts are made and summed on the executors; the driver gets ``buckets``
+    counts at most for each language that the sample has, and an empty sample gives a model without languages.
     """
-    rows = (
-        df.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(label).alias("l"))
-        .where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i", settings))
-    )
-    keys = rows.select("i", F.xxhash64("i").alias("h")).orderBy("h", "i").limit(settings.train_rows)
-    cut_at = keys.agg(F.max(F.struct("h", "i")).alias("m")).first().m
-    if cut_at is None:
-        return Model((), np.zeros(0), np.zeros((settings.buckets, 0), np.float32))
-    h = F.xxhash64("i")
-    sample = rows.where((h < cut_at.h) | ((h == cut_at.h) & (F.col("i") <= cut_at.i)))
+    rows = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(label).alias("l"))
+    sample = least_hashed(rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out("i", settings)), "i", settings.train_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        n: dict[str, int] = {}
         for batch in batches:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 points, _ = code_points([t])
-                total = seen.setdefault(lang, np.zeros(settings.buckets, np.int64))
-                n[lang] = n.get(lang, 0) + 1
+                total = seen.setdefault(lang, np.zeros(settings.buckets + 1, np.int64))
+                total[-1] += 1  # behind the buckets: rows
                 for order in settings.orders:
-                    total += np.bincount(grams(points, order, settings.buckets), minlength=settings.buckets)
+                    total[:-1] += np.bincount(grams(points, order, settings.buckets), minlength=settings.buckets)
         for lang, total in seen.items():
-            yield pa.RecordBatch.from_pydict({"l": [lang], "n": [n[lang]], "c": [total.tobytes()]})
-
-    parts = sample.select("t", "l").mapInArrow(count, "l string, n long, c binary")
-    counts: dict[str, np.ndarray] = {}
-    rows_of: dict[str, int] = {}
-    for r in parts.toLocalIterator():
-        counts[r.l] = counts.get(r.l, 0) + np.frombuffer(r.c, np.int64)
-        rows_of[r.l] = rows_of.get(r.l, 0) + r.n
-    languages = tuple(sorted(counts))
-    matrix = np.stack([counts[x] for x in languages], 1) + settings.smoothing
-    prior = np.array([rows_of[x] for x in languages], float)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], ["l", "b", "n"])
+
+    sums = through(sample.select("t", "l"), count, "l string, b long, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    languages = tuple(sorted(set(sums["l"].to_pylist())))
+    counts = np.zeros((settings.buckets + 1, len(languages)))
+    place = {x: k for k, x in enumerate(languages)}
+    counts[sums["b"].to_numpy(), [place[x] for x in sums["l"].to_pylist()]] = sums["n"].to_numpy()
+    if not languages:
+        return Model((), np.zeros(0), np.zeros((settings.buckets, 0), np.float32))
+    matrix, prior = counts[:-1] + settings.smoothing, counts[-1]
     return Model(languages, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(0)).astype(np.float32))
 
 
-def score_texts(texts: list[str], model: Model, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text."""
+def score_texts(texts: list[str], model: Model, settings: Settings) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language (the largest sum of log-prior and log-likelihood), cooled posterior and evidence of each text: the nats an
+    n-gram by which that language explains the text better than n-grams drawn alike."""
     points, at = code_points(texts)
     sizes = np.diff(at)
     total = np.zeros((len(texts), len(model.languages)))
@@ -123,40 +115,40 @@ def score_texts(texts: list[str], model: Model, settings: Settings) -> tuple[lis
         for k in range(len(model.languages)):
             sums = np.concatenate([[0.0], np.cumsum(model.log_prob[:, k][g], dtype=np.float64)])
             total[:, k] += sums[np.minimum(at[:-1] + count, len(g))] - sums[np.minimum(at[:-1], len(g))]
-    total = total / np.maximum(n, 1)[:, None] ** settings.cooling + model.log_prior
-    total -= total.max(1, keepdims=True)
-    post = np.exp(total)
-    post /= post.sum(1, keepdims=True)
-    best = post.argmax(1)
-    return [model.languages[b] for b in best], post[np.arange(len(texts)), best]
+    row = np.arange(len(texts))
+    best = (total + model.log_prior).argmax(1)
+    evidence = total[row, best] / np.maximum(n, 1) + np.log(settings.buckets)
+    cooled = total / np.maximum(n, 1)[:, None] ** settings.cooling + model.log_prior
+    post = np.exp(cooled - cooled.max(1, keepdims=True))
+    return [model.languages[b] for b in best], post[row, best] / post.sum(1), evidence
 
 
 def identify(df: DataFrame, model: Model, settings: Settings = Settings(), text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` plus lang_pred and score (posterior, 0 to 1) for every row.
+    """``keep`` plus lang_pred, score (cooled posterior, 0 to 1) and evidence (nats an n-gram over n-grams drawn alike) for every row.
 
-    Null texts, texts without a letter and any text when nothing could be learnt are ``und`` with score 0. Repeated rows
-    give equal results, ties go to the language first in order, and other columns of ``df`` are not read.
+    Null texts, texts without a letter and any text when nothing could be learnt are ``und`` with score and evidence 0.
+    Repeated rows give equal results, ties go to the language first in order, and other columns of ``df`` are not read.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)]) + ", lang_pred string, score double"
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(values: pa.Array) -> pa.RecordBatch:
         m = shared.value
-        for batch in batches:
-            for part, _, _ in slices(batch, "__text", 1 << 19):
-                texts = part.column("__text").to_pylist()
-                found = [bool(m.languages) and x is not None and any(map(str.isalpha, x)) for x in texts]
-                langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                if at := [k for k, ok in enumerate(found) if ok]:
-                    got, post = score_texts([texts[k] for k in at], m, settings)
-                    scores[at] = post
-                    for k, lang in zip(at, got, strict=True):
-                        langs[k] = lang
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
-
-    return rows.mapInArrow(run, schema)
+        langs, scores, evidence = [UNDETERMINED] * len(values), np.zeros(len(values)), np.zeros(len(values))
+        for a, b in pieces(values, 1 << 19):
+            texts = values.slice(a, b - a).to_pylist()
+            if at := [k for k, x in enumerate(texts) if m.languages and x is not None and has_letter(x)]:
+                got, post, more = score_texts([texts[k] for k in at], m, settings)
+                scores[a + np.array(at)], evidence[a + np.array(at)] = post, more
+                for k, lang in zip(at, got, strict=True):
+                    langs[a + k] = lang
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(evidence)], ["lang_pred", "score", "evidence"])
+
+    rows = df.select(*keep, beside(df, text, found, "lang_pred string, score double, evidence double").alias("__found"))
+    return rows.select(*keep, "__found.*")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

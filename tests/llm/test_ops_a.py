@@ -394,3 +394,62 @@ def test_decoder_gives_text_back():
     d = bpe.Decoder(v)
     half = v.ids[v.letters["é".encode()[0]]]
     assert d.feed(half) == "" and d.end() == "�"
+
+
+def test_transducers_in_step_equal_the_stream():
+    v = bpe.vocabulary(bpe.default_path())
+    r = rng(9)
+    words = ["".join(r.choice(["a", "aa", "th", "e", "in", "ing", "tion", "x", "ss", "ha"]) for _ in range(n)) for n in (1, 3, 40, 400, 1500, 1500)]
+    want = [[v.ids[t] for t in v.stream([w], block=50)] for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.transduce([w.encode() for w in words], block=30)] == want
+
+
+def test_bpe_text_comes_back(spark):
+    texts = ["hello world again", "中文 and é", None, "a" * 5000]
+    got = collected(bpe.encode(awkward(spark, texts)))
+    plain = ["hello world again ", "中文 and é ", "", "a" * 5000 + " "]
+    assert [r["plain_sha256"] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in plain]
+
+
+def test_language_is_the_plain_sum_of_naive_bayes(spark):
+    """Brute force: log-prior and log-probability of every n-gram, added up one at a time."""
+    docs = docs_of(spark)
+    s = langid.Settings()
+    model = langid.train(docs, s)
+    rows = [r for r in docs.collect() if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 1500][:60]
+    got = {r["doc_id"]: r for r in collected(langid.identify(docs, model, s))}
+    counts = {x: np.full(s.buckets, s.smoothing) for x in model.languages}
+    taught = {x: 0 for x in model.languages}
+    for r in docs.collect():
+        if r.text is not None and r.lang is not None and not langid.fold_of(r.doc_id, s):
+            taught[r.lang] += 1
+            points, _ = langid.code_points([r.text])
+            for order in s.orders:
+                np.add.at(counts[r.lang], langid.grams(points, order, s.buckets), 1)
+    for r in rows:
+        points, _ = langid.code_points([r.text])
+        g = np.concatenate([langid.grams(points, order, s.buckets) for order in s.orders])
+        sums = [np.log(taught[x] / sum(taught.values())) + np.log(counts[x] / counts[x].sum())[g].sum() for x in model.languages]
+        assert got[r.doc_id]["lang_pred"] == model.languages[int(np.argmax(sums))]
+        like = np.log(counts[got[r.doc_id]["lang_pred"]] / counts[got[r.doc_id]["lang_pred"]].sum())[g].mean()
+        assert abs(got[r.doc_id]["evidence"] - like - np.log(s.buckets)) < 1e-3
+
+
+def test_language_evidence_rejects_foreign_scripts(spark):
+    model = langid.train(docs_of(spark))
+    rows = collected(langid.identify(awkward(spark, ["中文字符中文字符" * 20, "the words of the language and the text"]), model))
+    assert rows[0]["evidence"] < 0 < rows[1]["evidence"]
+
+
+def test_secrets_in_longer_runs(spark):
+    """A key behind a path, a second key beside a base span, and identifiers, which stay."""
+    model = secrets.train(docs_of(spark))
+    rng_ = rng(4)
+    keys = ["".join(rng_.choice(secrets.LETTERS[:62]) for _ in range(40)) for _ in range(60)]
+    hexes = "0123456789abcdef" * 2
+    names = ["".join(rng_.choice(["user", "Order", "get", "list", "Window", "index", "value", "config", "path", "data"]) for _ in range(6)) + str(rng_.randrange(10)) for _ in range(200)]
+    texts = [f"look at /usr/share/config/data/{k} and {hexes}/{k}" for k in keys] + [f"call {n} now" for n in names]
+    rows = collected(secrets.scan(awkward(spark, texts), model))
+    found = [r["n_markov"] for r in rows]
+    assert sum(min(x, 2) for x in found[: len(keys)]) / (2 * len(keys)) > 0.95  # recall
+    assert sum(found[len(keys) :]) <= 2  # of 200 identifiers
