@@ -11,10 +11,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined: null texts and texts without a letter."""
+    """Drops documents whose language is undetermined (null texts and texts without a letter), and those that no learnt language
+    explains better than n-grams drawn alike. Where nothing could be learnt, texts with a letter stay."""
     s = langid.Settings()
-    out = langid.identify(docs, langid.train(docs, s), s, keep=COLUMNS)
-    return out.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    model = langid.train(docs, s)
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    out = langid.identify(docs, model, s, keep=COLUMNS)
+    return out.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("evidence") > 0)).select(*COLUMNS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
