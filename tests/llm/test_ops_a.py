@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import SF, awkward, collected, rng, words
+from helpers import DOCS, SF, awkward, collected, rng, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -453,3 +453,27 @@ def test_secrets_in_longer_runs(spark):
     found = [r["n_markov"] for r in rows]
     assert sum(min(x, 2) for x in found[: len(keys)]) / (2 * len(keys)) > 0.95  # recall
     assert sum(found[len(keys) :]) <= 2  # of 200 identifiers
+
+
+def test_near_duplicates_under_one_id(spark):
+    """Rows that share an id are judged by their own texts."""
+    r = rng(31)
+    a, b, c = (words(r, 60, 5000) for _ in range(3))
+    rows = [(5, a), (5, b), (2, b), (1, a + " more"), (7, c), (7, None), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 56, 1, False), (5, 56, 2, False), (2, 56, 2, True), (1, 57, 1, True), (7, 56, 7, True), (7, 0, 7, True), (None, 56, None, True), (None, 56, None, True)], key=str)
+
+
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies at all distances from one text, and texts that share half of it: every link is found, and what is listed for the rest stays small."""
+    r = rng(33)
+    base = words(r, 150, 5000).split()
+    texts = []
+    for k in range(500):
+        w = list(base)
+        for _ in range(k % 9):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w if k % 5 else w[:100] + words(r, 40, 10**6).split()))
+    got = collected(minhash.near_duplicates(awkward(spark, texts)))
+    assert [(x["n_shingles"], x["component_id"], x["kept"]) for x in got] == brute_components(texts, 5)
