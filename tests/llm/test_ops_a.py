@@ -67,6 +67,42 @@ def test_repeats_query_on_whole_table(spark):
     assert got == brute_repeats(texts, 400)
 
 
+def brute_passages(texts, least):
+    """Bytes of the longest run covered by windows that another text holds too, and the most words in one."""
+    raw = [(t or "").encode() for t in texts]
+    seen = defaultdict(set)
+    for k, r in enumerate(raw):
+        for i in range(len(r) - least + 1):
+            seen[r[i : i + least]].add(k)
+    out = []
+    for r in raw:
+        marks = bytearray(len(r))
+        for i in range(len(r) - least + 1):
+            if len(seen[r[i : i + least]]) > 1:
+                marks[i : i + least] = b"x" * least
+        found = [r[m.start() : m.end()] for m in re.finditer(b"x+", bytes(marks))]
+        out.append((max(map(len, found), default=0), max((len(x.split()) for x in found), default=0)))
+    return out
+
+
+@pytest.mark.parametrize("memory,hot", [(96 << 20, 20_000), (4_000, 20_000), (96 << 20, 1)])
+def test_passages_equal_brute_force(spark, memory, hot):
+    texts = repeats_fixture(seed=8)
+    s = suffixes.Settings(length=80, probe=40, gram=8, words=5, memory=memory, hot=hot)
+    got = collected(suffixes.remove_repeats(awkward(spark, texts), s))
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(texts, 80)
+    assert [(r["longest_repeat"], r["repeat_words"]) for r in got] == brute_passages(texts, 40)
+    assert [r["has_passage"] for r in got] == [r["repeat_words"] > 5 for r in got]
+
+
+def test_repeats_under_repeated_and_null_ids(spark):
+    texts = repeats_fixture(40, seed=4)
+    ids = [None if k % 3 == 0 else k // 4 for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], DOCS)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs, suffixes.Settings(length=40, gram=8)).collect()]
+    assert sorted(got, key=str) == sorted(((i, *x) for i, x in zip(ids, brute_repeats(texts, 40), strict=True)), key=str)
+
+
 def test_repeats_of_empty_table_and_long_rows(spark):
     assert suffixes.remove_repeats(awkward(spark, []), suffixes.Settings()).count() == 0
     s = suffixes.Settings(length=40, gram=8)
@@ -75,7 +111,7 @@ def test_repeats_of_empty_table_and_long_rows(spark):
     old, suffixes.CHUNK = suffixes.CHUNK, 1 << 12
     try:
         st_ = suffixes.Stretches(s)
-        row, a, g, first, p, last = st_.of_row(np.frombuffer(text, np.uint8))
+        row, a, g, first, p, last, fits = st_.of_row(np.frombuffer(text, np.uint8))
     finally:
         suffixes.CHUNK = old
     starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(first, last, strict=True)])
