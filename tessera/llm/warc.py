@@ -19,10 +19,10 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, utf8
+from .common import cut, scratch, through, utf8
 
 EPOCH = 1_704_067_200  # 2024-01-01; a page's capture time is so many seconds plus its id
 
@@ -232,20 +232,34 @@ class Written:
     runs: DataFrame
 
 
-def revisits(pages: DataFrame, s: Settings, page: str, payload: str) -> DataFrame:
-    """(page, refers): pages whose payload equals that of a page with a larger id, which is the response for all of them."""
+def payload_hash(payload: str, s: Settings) -> Column:
+    """SHA-256 of a payload that may be revisited, null for a smaller one."""
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    d = pages.where(F.col(page).isNotNull() & (F.octet_length(raw) >= s.least)).select(F.col(page).alias("page"), F.sha2(raw, 256).alias("sha"))
-    last = d.groupBy("sha").agg(F.max("page").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return d.join(last, "sha").where("page <> refers").select("page", "refers").distinct()
+    return F.when(F.octet_length(raw) >= s.least, F.sha2(raw, 256))
+
+
+def revisits(pages: DataFrame, s: Settings, page: str, payload: str) -> DataFrame:
+    """(page, sha, refers): pages whose payload equals that of a page with a larger id, which is the response for all of them.
+
+    A page is told apart by its id and its payload, so rows that share an id but not a payload are judged apart, and rows
+    equal in both alike. Sizes grow with the input, so nothing is broadcast; the rows of a hot payload hold ids and hashes only.
+    """
+    d = pages.select(F.col(page).alias("page"), payload_hash(payload, s).alias("sha")).where("page is not null and sha is not null")
+    last = cut(d.groupBy("sha").agg(F.max("page").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return d.join(last.hint("merge"), "sha").where("page <> refers").distinct()
 
 
 def write(pages: DataFrame, s: Settings = Settings(), page: str = "page_id", url: str = "url", payload: str = "html") -> Written:
-    """Archives and capture runs of ``pages``. Rows without an id are responses that nothing refers to; a null payload is empty."""
+    """Archives and capture runs of ``pages``, one record for each row.
+
+    Rows without an id are responses that nothing refers to; a null payload is empty. Of rows with equal payloads those with
+    the largest id are responses (several if that row is repeated), all others revisit it, repeated ones each by itself.
+    """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
-    seen = revisits(pages, s, page, payload)
-    rows = pages.select(F.col(page).alias("p"), F.col(url).alias("u"), F.col(payload).alias("t")).join(seen, F.col("p") == F.col("page"), "left").select("p", "u", "t", "refers")
+    seen = cut(revisits(pages, s, page, payload)).withColumnsRenamed({"sha": "same"})
+    rows = pages.select(F.col(page).alias("p"), F.col(url).alias("u"), F.col(payload).alias("t"), payload_hash(payload, s).alias("sha"))
+    rows = rows.join(seen.hint("merge"), (F.col("p") == F.col("page")) & (F.col("sha") == F.col("same")), "left").select("p", "u", "t", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Archives(folder, s)
@@ -257,12 +271,12 @@ def write(pages: DataFrame, s: Settings = Settings(), page: str = "page_id", url
         kinds, names = ["file"] * len(made.files) + ["run"] * len(made.runs), made.files + [r[0] for r in made.runs]
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array([0] * len(made.files) + [r[1] for r in made.runs], pa.int64()), pa.array([[]] * len(made.files) + [r[2] for r in made.runs], pa.list_(pa.string()))], ["kind", "name", "n", "fences"])
 
-    done = cut(rows.mapInArrow(run, "kind string, name string, n long, fences array<string>"))
+    done = cut(through(rows, run, "kind string, name string, n long, fences array<string>"))
     return Written(folder, done.where("kind = 'file'").select(F.col("name").alias("file")), done.where("kind = 'run'").select(F.col("name").alias("run"), "n", "fences"))
 
 
 def merged(written: Written, s: Settings = Settings()) -> DataFrame:
-    """The global index: range, place, urlkey, captured (s), page_id, record_type, payload_digest, file, offset and size, ordered by
+    """The global index, a row for each record, repeated rows included: range, place, urlkey, captured (s), page_id, record_type, payload_digest, file, offset and size, ordered by
     urlkey, captured and page_id over (range, place)."""
     folder, runs = written.folder, written.runs
     spark = runs.sparkSession
@@ -315,7 +329,7 @@ def table_of(k: int, place: int, lines: list[list[str]]) -> pa.RecordBatch:
 
 
 def read(written: Written, payloads: bool = False) -> DataFrame:
-    """Every record of the archives, read from front to back: file, offset, page_id, payload_bytes, payload_digest, record_type,
+    """Every record of the archives, repeated rows included, read from front to back: file, offset, page_id, payload_bytes, payload_digest, record_type,
     refers_to and url; with ``payloads`` also payload (null for revisits)."""
     folder = written.folder
 

@@ -284,3 +284,14 @@ def test_dedup_keeps_different_texts_under_one_id(spark):
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
     want = [(1, a), (1, b), (3, c), (3, "short one"), (3, "short two"), (None, c), (None, c)]
     assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(want, key=str)
+
+
+def test_warc_repeated_and_null_ids(spark):
+    """One record for each row; rows that share an id are judged by their own payloads."""
+    big, other = "<p>x</p>" * 300, "<p>y</p>" * 300
+    rows = [(7, big), (7, other), (9, big), (3, other), (None, big), (9, "small"), (3, other)]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = [(r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect()]
+    sha = {x: hashlib.sha1(x.encode()).hexdigest() for x in (big, other, "small")}
+    want = [(7, sha[big], "revisit", 9), (7, sha[other], "response", None), (9, sha[big], "response", None), (3, sha[other], "revisit", 7), (None, sha[big], "response", None), (9, sha["small"], "response", None), (3, sha[other], "revisit", 7)]
+    assert sorted(got, key=str) == sorted(want, key=str)
