@@ -91,11 +91,28 @@ def scratch(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: the lineage ends there, and lost executors cost only their own tasks.
 
-    The table stays until its folder is cleared, as what is returned, and what is derived from it, may be read at any time.
+    The table stays until its folder is cleared or it is given to ``discard``, as what is derived from it may be read at any time.
     """
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` from which all that is read later has been written, and let the driver drop shuffles that nothing refers to any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner see which shuffles nothing refers to: their files go once their plans are collected."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHash, components, cut, mix64, slices, spans_of, through
+from .common import U64, SpanHash, components, cut, discard, mix64, slices, spans_of, through
 
 #: Bytes of words: all but blank, tab, line feed, vertical tab, form feed and carriage return.
 IS_WORD = np.ones(256, bool)
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), doc: str = "doc_i
     alive = cut(shared.join(lone, "id", "left").withColumn("c", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone").where(100 * F.col("c") >= s.percent * F.col("n")))
     size = cut(alive.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     crowd = cut(alive.join(size, "key"))
+    discard(shared, lone, alive, size)
     score = crowd.groupBy("id").agg(F.sum("m").alias("score"))
     rated = cut(crowd.drop("m").join(score, "id"))
     lead = rated.groupBy("key").agg(F.max(F.struct("score", (F.col("c") - F.col("n")).alias("own"), "id", "n", "c")).alias("l"), F.count("*").alias("m")).select("key", F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("l.c").alias("ca"), "m")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHash, cut, mix64, slices, spans_of, through
+from .common import U64, SpanHash, cut, discard, mix64, release, slices, spans_of, through
 
 
 @dataclass(frozen=True)
@@ -400,14 +400,17 @@ def repeated_spans(rows: DataFrame, s: Settings) -> DataFrame:
     # written, so that the join deals an anchor that very many rows share to several tasks
     twice = cut(found.groupBy("a").agg(F.count("*").alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("m > 1").select("a", (F.col("g0") < F.col("g1")).alias("mixed")))
     live = cut(found.join(twice, "a"))
+    discard(found, twice)
     own = F.xxhash64("id", "k")
     sets = cut(live.groupBy("a", "g", "mixed").agg(F.count("*").alias("n"), (F.min(own) < F.max(own)).alias("multi"), F.min(F.struct("id", "k", "s", "p", "e", "f")).alias("r")))
     same = cut(live.select("id", "k", "a", "g", "s", "e", "f").join(sets.where("n > 1").select("a", "g", "multi"), ["a", "g"]))
+    discard(live)
     equal = same.where("f >= s").select("id", "k", "s", (F.col("f") + s.length).alias("t"), F.lit(False).alias("across"))
     equal = equal.unionByName(same.where("multi").select("id", "k", "s", (F.col("e") + s.least).alias("t"), F.lit(True).alias("across")))
     kinds = cut(sets.where("mixed").groupBy("a").agg(F.count("*").alias("kinds")))
     wanted = sets.where("mixed").join(kinds, "a").select("a", "n", "multi", "kinds", "r.*")
     texts = cut(texts_of(rows, wanted.where(F.col("kinds") <= s.hot), s))
+    release(texts.sparkSession)
     parts = equal.unionByName(induced(texts, s))
     if not kinds.where(F.col("kinds") > s.hot).isEmpty():
         parts = parts.unionByName(counted(texts_of(rows, wanted.where(F.col("kinds") > s.hot), s), s))

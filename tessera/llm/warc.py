@@ -383,7 +383,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     s = Settings()
     written = write(table(spark, sf_dir, "pages"), s)
     index = merged(written, s).select("file", "offset")
-    return read(written).join(index, ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # both sides grow with the pages, though the tables they start from are small: never broadcast
+    return read(written).join(index.hint("merge"), ["file", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
