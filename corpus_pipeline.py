@@ -23,6 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The documents with a number for each row, written so that it stays the same: ids may be null or repeated."""
+    common.release(docs.sparkSession)
     return common.cut(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
 
 
