@@ -93,9 +93,14 @@ def cut(df: DataFrame) -> DataFrame:
 
     The table stays until its folder is cleared or it is given to ``discard``, as what is derived from it may be read at any time.
     """
-    path = scratch(df.sparkSession, "table")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, clean = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch(spark, "table"), spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")  # once the table stands, nothing needs the shuffles that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 

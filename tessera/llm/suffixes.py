@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHash, cut, discard, mix64, release, slices, spans_of, through
+from .common import U64, SpanHash, cut, discard, mix64, slices, spans_of, through
 
 
 @dataclass(frozen=True)
@@ -410,11 +410,12 @@ def repeated_spans(rows: DataFrame, s: Settings) -> DataFrame:
     kinds = cut(sets.where("mixed").groupBy("a").agg(F.count("*").alias("kinds")))
     wanted = sets.where("mixed").join(kinds, "a").select("a", "n", "multi", "kinds", "r.*")
     texts = cut(texts_of(rows, wanted.where(F.col("kinds") <= s.hot), s))
-    release(texts.sparkSession)
     parts = equal.unionByName(induced(texts, s))
     if not kinds.where(F.col("kinds") > s.hot).isEmpty():
         parts = parts.unionByName(counted(texts_of(rows, wanted.where(F.col("kinds") > s.hot), s), s))
-    return parts
+    spans = cut(parts.groupBy("id", "k", "across", "s").agg(F.max("t").alias("t")))
+    discard(texts, sets, same, kinds)
+    return spans
 
 
 def covered(n: int, spans: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -441,8 +442,7 @@ def remove_repeats(docs: DataFrame, s: Settings = Settings(), doc: str = "doc_id
     rows equal in both repeat each other, and all of them lose what repeats.
     """
     rows = keyed(docs, doc, text)
-    spans = repeated_spans(rows, s).groupBy("id", "k", "across", "s").agg(F.max("t").alias("t"))
-    per = spans.groupBy("id", "k").agg(F.collect_list(F.struct("s", "t", "across")).alias("w"))
+    per = repeated_spans(rows, s).groupBy("id", "k").agg(F.collect_list(F.struct("s", "t", "across")).alias("w"))
     rows = on_row(rows, per, "left")
     kind = rows.schema["id"].dataType.simpleString()
 
