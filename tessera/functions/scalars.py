@@ -34,6 +34,16 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)))
 
 
+def percent(x: Column, digits: int) -> Column:
+    """A share as a percent string; infinite shares as inf, null as an empty string."""
+    return F.when(x.isNull(), F.lit("")).when(x == float("inf"), F.lit("inf")).otherwise(F.format_string(f"%.{digits}f%%", x.cast("double") * 100))
+
+
+def times(x: Column) -> Column:
+    """A speed-up with its sign, as 1.50x; null as an empty string."""
+    return F.when(x.isNull(), F.lit("")).otherwise(F.format_string("%.2fx", x.cast("double")))
+
+
 def verdict(hybrid: Column, exact: Column, ordered: Column, sketch: Column) -> Column:
     """GO, MARGINAL or NO-GO: hybrid is over 1.5 times as fast as exact, beats the sorted run's speed-up, and takes less than the all-sketch run."""
     speed = exact / hybrid

@@ -10,11 +10,11 @@ from .graph import adjacency, edge_costs
 from .sketches import Profile, S, dense, intersections
 
 
-def edge_details(fwd: DataFrame, gamma: int, p: int = 8, profile: Profile = S, theta: int | None = None, seed: int = 0) -> DataFrame:
+def edge_details(fwd: DataFrame, gamma: int, p: int = 8, profile: Profile = S, theta: int | None = None, seed: int = 0, most_gb: float | None = None) -> DataFrame:
     """(src, dst, deg_u, deg_v, proxy, method, s_hat, s_clamped, wanted) for every edge.
 
     ``wanted``: the cost asks for sketches; without sketches of both ends (nodes below ``theta`` have none) the edge is
-    exact after all. Each branch reads only its own edges, so arrays are shipped for cheap edges and registers for dear ones.
+    exact after all; more than ``most_gb`` of sketches are refused. Each branch reads only its own edges, so arrays are shipped for cheap edges and registers for dear ones.
     """
     theta = gamma if theta is None and profile is S else theta or 0
     adj = adjacency(fwd)
@@ -24,7 +24,7 @@ def edge_details(fwd: DataFrame, gamma: int, p: int = 8, profile: Profile = S, t
     cheap = routed.where("not hll").join(adj.select(F.col("node").alias("dst"), F.col("nbrs").alias("nv")), "dst").join(adj.select(F.col("node").alias("src"), F.col("nbrs").alias("nu")), "src")
     s = F.size(F.array_intersect("nu", "nv")).cast("double")
     exact = cheap.select("src", "dst", "deg_u", "deg_v", "proxy", F.lit("exact").alias("method"), s.alias("s_hat"), s.alias("s_clamped"), "wanted")
-    sketches = dense(adj, p, profile, theta, seed)
+    sketches = dense(adj, p, profile, theta, seed, most_gb)
     dear = routed.where("hll").join(sketches.toDF("dst", "rv"), "dst").join(sketches.toDF("src", "ru"), "src")
     hat = dear.select("src", "dst", "deg_u", "deg_v", "proxy", "wanted", intersections(p, profile)("ru", "rv", "deg_u", "deg_v").alias("s_hat"))
     upper = F.least("s_hat", F.col("proxy").cast("double")) if profile.upper else F.col("s_hat")
@@ -49,14 +49,14 @@ def summary(details: DataFrame) -> DataFrame:
     return base.select("*", ratio(a, n).alias("approx_coverage"), ratio(f, a + f).alias("fallback_ratio"), ratio(F.col("n_clamped"), a).alias("clamp_ratio"))
 
 
-def hybrid(fwd: DataFrame, gamma: int, p: int = 8, profile: Profile = S, theta: int | None = None, seed: int = 0) -> DataFrame:
+def hybrid(fwd: DataFrame, gamma: int, p: int = 8, profile: Profile = S, theta: int | None = None, seed: int = 0, most_gb: float | None = None) -> DataFrame:
     """One row: total and statistics."""
-    return summary(edge_details(fwd, gamma, p, profile, theta, seed))
+    return summary(edge_details(fwd, gamma, p, profile, theta, seed, most_gb))
 
 
-def pure(fwd: DataFrame, p: int = 8, profile: Profile = S, seed: int = 0) -> DataFrame:
+def pure(fwd: DataFrame, p: int = 8, profile: Profile = S, seed: int = 0, most_gb: float | None = None) -> DataFrame:
     """Every edge by sketches: (total, n_edges, n_clamped)."""
-    return summary(edge_details(fwd, -1, p, profile, 0, seed)).select("total", "n_edges", "n_clamped")
+    return summary(edge_details(fwd, -1, p, profile, 0, seed, most_gb)).select("total", "n_edges", "n_clamped")
 
 
 def sweep(fwd: DataFrame, grid: list[tuple[int, int]], profile: Profile = S) -> DataFrame:

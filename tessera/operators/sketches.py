@@ -95,15 +95,6 @@ def cardinalities(regs: DataFrame, p: int, profile: Profile = S) -> DataFrame:
     return per.select("node", estimate(F.col("s") + (m - F.col("k")), (m - F.col("k")).cast("double"), p, profile).alias("estimate"))
 
 
-def union_estimates(pairs: DataFrame, regs: DataFrame, p: int, profile: Profile = S) -> DataFrame:
-    """(src, dst, union_estimate) from sparse registers: the larger rho of both ends in each register. Both ends must have a register."""
-    m = 1 << p
-    sides = [pairs.join(regs.withColumnRenamed("node", x), x).select("src", "dst", "j", "rho") for x in ("src", "dst")]
-    both = sides[0].unionByName(sides[1]).groupBy("src", "dst", "j").agg(F.max("rho").alias("rho"))
-    per = both.groupBy("src", "dst").agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("s"), F.count("*").alias("k"))
-    return per.select("src", "dst", estimate(F.col("s") + (m - F.col("k")), (m - F.col("k")).cast("double"), p, profile).alias("union_estimate"))
-
-
 # Dense sketches: the form that many unions are made from.
 
 
@@ -141,10 +132,16 @@ def np_register(x: np.ndarray, p: int, profile: Profile, seed: int) -> tuple[np.
     return j.astype(np.int64), 64 - p + 1 - np_bit_length(w)
 
 
-def dense(adj: DataFrame, p: int, profile: Profile = S, theta: int = 0, seed: int = 0) -> DataFrame:
-    """(node, regs): 2**p bytes for each node with ``theta`` out-neighbours or more, straight from its array; theta 0 also gives sinks a sketch of zeros."""
+def dense(adj: DataFrame, p: int, profile: Profile = S, theta: int = 0, seed: int = 0, most_gb: float | None = None) -> DataFrame:
+    """(node, regs): 2**p bytes for each node with ``theta`` out-neighbours or more, straight from its array; theta 0 also gives sinks a sketch of zeros.
+
+    With ``most_gb`` the nodes are counted first, and more than that many GB of sketches are refused before any is built.
+    """
     check(p)
     m = 1 << p
+    kept = adj.where(F.col("d_out") >= theta)
+    if most_gb is not None:
+        guard(kept.count(), p, most_gb)
 
     @F.pandas_udf("binary")
     def build(nbrs: pd.Series) -> pd.Series:
@@ -155,7 +152,7 @@ def dense(adj: DataFrame, p: int, profile: Profile = S, theta: int = 0, seed: in
             np.maximum.at(out, (np.repeat(np.arange(len(size)), size), j), rho.astype(np.uint8))
         return pd.Series([r.tobytes() for r in out])
 
-    return adj.where(F.col("d_out") >= theta).select("node", build("nbrs").alias("regs"))
+    return kept.select("node", build("nbrs").alias("regs"))
 
 
 def np_estimate(regs: np.ndarray, p: int, profile: Profile) -> np.ndarray:
@@ -170,6 +167,21 @@ def np_estimate(regs: np.ndarray, p: int, profile: Profile) -> np.ndarray:
         return np.where((raw <= 2.5 * m) & (zeros > 0), m * np.log(m / np.maximum(zeros, 1)), out)
 
 
+def union_estimates(pairs: DataFrame, sketches: DataFrame, p: int, profile: Profile = S) -> DataFrame:
+    """(src, dst, union_estimate) of pairs whose ends both have a dense sketch; a pair ships two sketches, whatever their fill."""
+    m = 1 << p
+
+    @F.pandas_udf("double")
+    def union(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ru, rv in batches:
+            out = np.zeros(len(ru))
+            for k in range(0, len(ru), 4096):
+                a, b = (np.frombuffer(b"".join(r.iloc[k : k + 4096]), np.uint8).reshape(-1, m) for r in (ru, rv))
+                out[k : k + 4096] = np_estimate(np.maximum(a, b), p, profile)
+            yield pd.Series(out)
+
+    both = pairs.join(sketches.toDF("dst", "rv"), "dst").join(sketches.toDF("src", "ru"), "src")
+    return both.select("src", "dst", union("ru", "rv").alias("union_estimate"))
 
 
 def intersections(p: int, profile: Profile):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import adjacency, degrees, orient, symmetric_adjacency
+from .graph import adjacency, degrees, orient
 
 
 def edge_support(fwd: DataFrame) -> DataFrame:
@@ -47,12 +47,18 @@ def wedges(fwd: DataFrame) -> DataFrame:
     return a.join(b, "y").join(c, ["x", "z"]).agg(F.count("*").alias("triangles"))
 
 
+def edge_scores(fwd: DataFrame) -> DataFrame:
+    """(src, dst, score): common neighbours of both ends, whichever way their edges point, of the edges that are in a triangle.
+
+    Each triangle adds one to its three edges, so that only bounded out-neighbourhoods are shipped, never a hub's whole list.
+    """
+    sides = F.array(*(F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))))
+    return listed(fwd).select(F.explode(sides).alias("e")).select("e.*").groupBy("src", "dst").agg(F.count("*").alias("score"))
+
+
 def edge_score_third(edges: DataFrame) -> DataFrame:
     """triangles as a third of the sum of common neighbours over undirected edges."""
-    adj = symmetric_adjacency(edges)
-    far = edges.join(adj.select(F.col("node").alias("v"), F.col("nbrs").alias("nv")), "v")
-    both = far.join(adj.select(F.col("node").alias("u"), F.col("nbrs").alias("nu")), "u")
-    return both.agg((F.coalesce(F.sum(F.size(F.array_intersect("nu", "nv"))), F.lit(0)) / F.lit(3.0)).cast("double").alias("triangles"))
+    return edge_scores(orient(edges)).agg((F.coalesce(F.sum("score"), F.lit(0)) / F.lit(3.0)).cast("double").alias("triangles"))
 
 
 def per_vertex(fwd: DataFrame) -> DataFrame:

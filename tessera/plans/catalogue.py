@@ -80,6 +80,16 @@ def one_indexed_shift(spark, sf_dir):
     return sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir)), one_indexed=True))
 
 
+@query("read_edges_text", fixtures.EDGE_SQL["g1"])
+def read_edges_text(spark, sf_dir):
+    return sources.read_edges(spark, fixtures.edge_file(spark, sf_dir))
+
+
+@query("read_edges_gzip", fixtures.EDGE_SQL["g1"])
+def read_edges_gzip(spark, sf_dir):
+    return sources.read_edges(spark, fixtures.edge_file(spark, sf_dir, "gzip"))
+
+
 @query("from_pairs_table", "SELECT DISTINCT least(o_custkey, o_orderkey) AS u, greatest(o_custkey, o_orderkey) AS v FROM orders WHERE o_custkey <> o_orderkey")
 def from_pairs_table(spark, sf_dir):
     return sources.from_pairs(fixtures.table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
@@ -303,7 +313,7 @@ def cardinality_estimate(spark, sf_dir):
 def union_estimate(spark, sf_dir):
     fwd = fwd_of(spark, sf_dir)
     pairs = graph.edge_costs(fwd).where("proxy >= 64").select("src", "dst")
-    return sketches.union_estimates(pairs, sketches.registers(fwd, 8, S, theta=64), 8).withColumn("union_estimate", F.round("union_estimate", 6))
+    return sketches.union_estimates(pairs, sketches.dense(graph.adjacency(fwd, sinks=False), 8, S, theta=64), 8).withColumn("union_estimate", F.round("union_estimate", 6))
 
 
 @query("linear_counting_zero_registers", sql.with_graph("SELECT node, 16 - count(*) AS zeros FROM r GROUP BY node", "g1", "r", regs=(4, "s", 0)))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,27 @@ EDGE_SQL = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a session within one process gets one of its own."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def edge_file(spark: SparkSession, sf_dir: str, codec: str = "none") -> str:
+    """Path of g1 as an edge-list text, one file for each partition: every edge both ways, comments, blanks and loops."""
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    u, v = F.col("u").cast("string"), F.col("v").cast("string")
+    lines = F.array(F.concat_ws("\t", u, v), F.concat_ws("  ", v, u, F.lit("0.5")), F.concat_ws(" ", F.lit("#"), u, v), F.lit("  "), F.concat_ws(" ", u, u))
+    part_graph(spark, sf_dir).select(F.explode(lines)).write.text(path, compression=codec)
+    return path
+
+
 def edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line, value): an edge-list text made from nations, with comments, blanks, loops, reversed repeats, third columns and short lines."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_regionkey").cast("bigint").alias("r"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ SPACE = r"[\s\x1c-\x1f\x85\xa0]"
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(line, value) of a text file, gzip by suffix; ``line`` grows in file order.
+    """(line, value) of a text file, gzip by suffix; ``line`` grows within a file.
 
+    Between the files of a folder it follows Spark's packing of splits, so labels are interned in the order of one file only.
     A gzip file is one split, so ``partitions`` deals its lines out again before anything else is done with them.
     """
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
@@ -52,20 +54,20 @@ def canonical(pairs: DataFrame, dedup: bool = True) -> DataFrame:
     return e.dropDuplicates(["u", "v"]) if dedup else e
 
 
-def dense(keys: DataFrame, key: str, buckets: int = 4096) -> DataFrame:
+def dense(keys: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     """``keys`` (distinct numbers in ``key``) with dense ids from 0 in the order of ``key``.
 
-    Ranges of equal width are numbered apart, each from the count of the ranges before, so no task has to see all keys.
+    Ranges between approximate quantiles are numbered apart, each from the count of the ranges before, so no task has to see
+    all keys, however unevenly they lie. Any ends of the ranges give the same ids; the quantiles only make them even.
     """
-    span = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if span.lo is None:
-        return keys.withColumn("id", F.lit(0).cast("bigint"))
-    width = max(1, (span.hi - span.lo) // buckets + 1)
-    parted = keys.withColumn("part", F.floor((F.col(key) - F.lit(span.lo)) / F.lit(width)).cast("bigint"))
-    sizes = parted.groupBy("part").agg(F.count("*").alias("n"))  # at most ``buckets`` + 1 rows
-    before = sizes.withColumn("base", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).select("part", "base")
-    order = Window.partitionBy("part").orderBy(key)
-    return parted.withColumn("rank", F.row_number().over(order)).join(F.broadcast(before), "part").withColumn("id", (F.col("base") + F.col("rank") - 1).cast("bigint")).drop("part", "rank", "base")
+    ends = keys.approxQuantile(key, [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
+    splits = [float("-inf"), *sorted(set(ends)), float("inf")]
+    at = keys.withColumn("__x", F.col(key).cast("double"))  # rounding keeps the order, and equal doubles share a range
+    parted = Bucketizer(splits=splits, inputCol="__x", outputCol="__part").transform(at).drop("__x") if ends else at.drop("__x").withColumn("__part", F.lit(0.0))
+    sizes = parted.groupBy("__part").agg(F.count("*").alias("__n"))  # at most ``buckets`` rows
+    before = sizes.withColumn("__base", F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).select("__part", "__base")
+    order = Window.partitionBy("__part").orderBy(key)
+    return parted.withColumn("__rank", F.row_number().over(order)).join(F.broadcast(before), "__part").withColumn("id", (F.col("__base") + F.col("__rank") - 1).cast("bigint")).drop("__part", "__rank", "__base")
 
 
 def intern_labels(pairs: DataFrame) -> DataFrame:
