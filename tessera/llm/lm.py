@@ -6,8 +6,9 @@ vocabulary. p(word | both sides) is the product of the choices on its path; each
 layer, which sees the whole path of every neighbour and the path so far, on top of the logarithm of the counts below the node.
 The network (an embedding of classes for each neighbour place, the codes of paths, one hidden layer, a softmax for each
 level) is trained in numpy on every document: in each of
-``rounds`` rounds the partitions go through their share of documents from the same weights, and the weights they end with
-are averaged, each weighing as many windows as it saw.
+``rounds`` rounds shares of the documents are gone through from the same weights, and the weights they end with
+are averaged, each weighing as many windows as it saw. Shares and their order follow hashes of the rows and the corpus's
+number of words, so neither the weights nor the scores depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ class Settings:
     rate: float = 0.5
     smoothing: float = 0.5
     seed: int = 17
+    share: int = 1_000_000  # words of a share of the documents, more where that would make over ``most`` shares a round
+    most: int = 20_000
 
     @property
     def offsets(self) -> tuple[int, ...]:
@@ -140,6 +143,7 @@ class Lexicon:
     of: np.ndarray
     log_inner: np.ndarray | None
     tree: Tree | None = None
+    words: int = 0
 
     @property
     def levels(self) -> int:
@@ -369,7 +373,7 @@ def lexicon(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Le
     keys, counts = sums["h"].to_numpy().view(U64), sums["n"].to_numpy()
     order = np.argsort(keys)
     of, tree = planted(keys[order], counts[order], s)
-    return Lexicon(of, None, tree)
+    return Lexicon(of, None, tree, int(counts.sum()))
 
 
 def bucket_lexicon(docs: DataFrame, s: Settings, text: str) -> Lexicon:
@@ -393,15 +397,20 @@ def bucket_lexicon(docs: DataFrame, s: Settings, text: str) -> Lexicon:
     of = np.empty(s.buckets, np.int64)
     of[order] = np.minimum((before / mass.sum() * s.classes).astype(np.int64), s.classes - 1)
     held = np.bincount(of, counts + s.smoothing, s.classes)
-    return Lexicon(of, np.log((counts + s.smoothing) / held[of]))
+    return Lexicon(of, np.log((counts + s.smoothing) / held[of]), None, int(counts.sum()))
 
 
 def train(docs: DataFrame, lex: Lexicon, s: Settings = Settings(), doc: str = "doc_id", text: str = "text") -> Net:
-    """The averaged network; every document is in the share of one round."""
+    """The averaged network; every document is in one share of one round.
+
+    Each share is a partition, sorted by the hash of id and text; rows equal in both stand side by side in the same share.
+    """
     net = Net(s, levels=lex.levels)
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(lex)
-    rows = docs.select(F.pmod(F.xxhash64(doc), F.lit(s.rounds)).alias("r"), F.col(text).alias("t"))
+    shares = min(s.most, 1 + lex.words // (s.rounds * s.share))
+    key = F.xxhash64(F.col(doc), F.col(text))
+    rows = docs.where(F.length(text) > 0).select(F.pmod(key, F.lit(s.rounds)).alias("r"), F.xxhash64(key).alias("key"), F.col(text).alias("t"))
     for r in range(s.rounds):
         start = net.flat.copy()
 
@@ -417,7 +426,8 @@ def train(docs: DataFrame, lex: Lexicon, s: Settings = Settings(), doc: str = "d
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own.flat))), pa.array(own.flat.astype(np.float64) * seen), pa.array(np.full(len(own.flat), float(seen)))], ["k", "v", "n"])
 
-        parts = rows.where(F.col("r") == r).select("t").mapInArrow(learn, "k long, v double, n double")
+        dealt = rows.where(F.col("r") == r).select("key", "t").repartitionById(shares, F.pmod("key", F.lit(shares)).cast("int")).sortWithinPartitions("key").select("t")
+        parts = dealt.mapInArrow(learn, "k long, v double, n double")
         mean = parts.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(mean):
             flat = net.flat.copy()

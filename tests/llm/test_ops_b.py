@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -198,6 +199,29 @@ def test_lm_context_reaches_the_word(spark):
     assert all(abs(x["log_prob"] - scored(t, lex, net, s).sum()) < 1e-3 * abs(x["log_prob"]) for x, t in zip(got[:20], texts, strict=False))
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    r = rng(12)
+    docs = awkward(spark, [words(r, r.randrange(1, 300), 500) for _ in range(300)] + [None, ""])
+    s = lm.Settings(batch=128, share=5000)
+    found = []
+    for n in (1, 8):
+        parted = docs.repartition(n)
+        lex = lm.lexicon(parted, s)
+        found.append([x["log_prob"] for x in collected(lm.score(parted, lex, lm.train(parted, lex, s), s))])
+    assert np.allclose(*found, rtol=1e-5) and lex.words > 6 * s.share
+
+
+def test_lm_query_scores_every_document(spark):
+    texts = [x.text for x in docs_of(spark).orderBy("doc_id").collect()]
+    got = collected(lm.query(spark, SF))
+    assert [x["n_tokens"] for x in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert all(x["log_prob"] < 0 if x["n_tokens"] else x["log_prob"] == 0 for x in got)
+    docs, s = docs_of(spark), lm.Settings()
+    lex = lm.lexicon(docs, s)
+    net = lm.train(docs, lex, s)
+    assert all(not t or abs(x["log_prob"] - scored(t, lex, net, s).sum()) < 1e-3 * abs(x["log_prob"]) for x, t in zip(got, texts, strict=True))
+
+
 def test_lm_gradient_below_the_classes():
     s = lm.Settings(classes=3, hidden=3, sides=2)
     r = np.random.default_rng(1)
