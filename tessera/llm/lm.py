@@ -196,24 +196,25 @@ class Net:
             self.parts.append(self.flat[at : at + n].reshape(x))
             at += n
 
-    def sums(self, context: np.ndarray, below: Below | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """What enters the hidden layer, and the codes of the neighbours at each place."""
+    def sums(self, context: np.ndarray, below: Below | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """What enters the hidden layer, and the codes of all words of the run."""
         e, b = self.parts[:2]
-        h = e[0][context[0]]
+        h = e[0].take(context[0], 0)
         for k in range(1, len(context)):
-            h += e[k][context[k]]
+            h += e[k].take(context[k], 0)
         h += b
         if not self.levels:
-            return h, []
+            return h, None
         f, m = self.parts[4:6]
-        code = np.zeros((below.digits.shape[1], self.s.hidden), np.float32)
-        for level in range(self.levels):
-            t = np.flatnonzero(below.nodes[level] >= 0)
-            code[t] += f[level][below.digits[level, t]]
-        codes = [code[self.s.sides + o : self.s.sides + o + len(h)] * (context[k] != self.s.classes)[:, None] for k, o in enumerate(self.s.offsets)]
-        for k, x in enumerate(codes):
-            h += x @ m[k]
-        return h, codes
+        coded = np.concatenate([f, np.zeros((self.levels, 1, self.s.hidden), np.float32)], 1)  # nothing below a leaf
+        code = coded[0].take(below.digits[0], 0)
+        for level in range(1, self.levels):
+            code += coded[level].take(below.digits[level], 0)
+        for k, o in enumerate(self.s.offsets):
+            x = code[self.s.sides + o : self.s.sides + o + len(h)] @ m[k]
+            x[context[k] == self.s.classes] = 0
+            h += x
+        return h, code
 
     def forward(self, context: np.ndarray, below: Below | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hidden layer and log-probabilities of all classes; context has a row for each place."""
@@ -227,15 +228,17 @@ class Net:
         q0, q, u = self.parts[6:]
         own = slice(self.s.sides, self.s.sides + len(target))
         digits, nodes = below.digits[:, own], below.nodes[:, own]
-        sums = sums + q0[target]
+        sums, on = sums + q0.take(target, 0), np.arange(len(target))
         for level in range(self.levels):
-            t = np.flatnonzero(nodes[level] >= 0)
+            kept = np.flatnonzero(nodes[level].take(on) >= 0)
+            if len(kept) < len(on):
+                sums, on = sums.take(kept, 0), on.take(kept)
             if level:
-                sums[t] += q[level - 1][digits[level - 1, t]]
-            g = np.tanh(sums[t])
+                sums += q[level - 1].take(digits[level - 1].take(on), 0)
+            g = np.tanh(sums)
             z = g @ u[level]
-            z += below.log_count[nodes[level, t]]
-            yield t, g, z, *raised(z, u[level]), digits[level, t]
+            z += below.log_count.take(nodes[level].take(on), 0)
+            yield on, g, z, *raised(z, u[level]), digits[level].take(on)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray, below: Below | None = None) -> np.ndarray:
         """Log-probability of each class, and of the path below it where there are levels."""
@@ -250,7 +253,7 @@ class Net:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float, below: Below | None = None) -> None:
         e, b, w, c = self.parts[:4]
         n = len(target)
-        sums, codes = self.sums(context, below)
+        sums, code = self.sums(context, below)
         h = np.tanh(sums)
         d, total = raised(h @ w + c, w, c)
         d /= total[:, None]
@@ -259,7 +262,7 @@ class Net:
         dh = (d @ w.T) * (1 - h * h)
         if self.levels:
             dh += self.step_below(sums, target, rate, below)
-            self.step_codes(dh, context, codes, below)
+            self.step_codes(dh, context, code, below)
         w -= h.T @ d
         c -= d.sum(0)
         b -= dh.sum(0)
@@ -282,16 +285,20 @@ class Net:
         pour(q0, target, back)
         return back
 
-    def step_codes(self, dh: np.ndarray, context: np.ndarray, codes: list[np.ndarray], below: Below) -> None:
+    def step_codes(self, dh: np.ndarray, context: np.ndarray, code: np.ndarray, below: Below) -> None:
         f, m = self.parts[4:6]
-        dcode = np.zeros((below.digits.shape[1], self.s.hidden), np.float32)
+        dcode = np.zeros_like(code)
         for k, o in enumerate(self.s.offsets):
-            at = self.s.sides + o
-            dcode[at : at + len(dh)] += (dh @ m[k].T) * (context[k] != self.s.classes)[:, None]
-            m[k] -= codes[k].T @ dh
+            here = slice(self.s.sides + o, self.s.sides + o + len(dh))
+            d, beyond = dh, np.flatnonzero(context[k] == self.s.classes)
+            if len(beyond):
+                d = dh.copy()
+                d[beyond] = 0
+            dcode[here] += d @ m[k].T
+            m[k] -= code[here].T @ d
         for level in range(self.levels):
             t = np.flatnonzero(below.nodes[level] >= 0)
-            pour(f[level], below.digits[level, t], dcode[t])
+            pour(f[level], below.digits[level].take(t), dcode.take(t, 0))
 
 
 def tokens(data: np.ndarray, at: np.ndarray, hasher: SpanHash, s: Settings) -> tuple[np.ndarray, np.ndarray]:
