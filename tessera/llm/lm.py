@@ -94,16 +94,18 @@ class Tree:
 def planted(keys: np.ndarray, counts: np.ndarray, s: Settings) -> tuple[np.ndarray, Tree]:
     """Class of each word and the tree, from sorted hashes and their counts."""
     v = len(keys) + 1
+    kind = np.int32 if v < 1 << 27 else np.int64
     mass = np.append(counts, 0) + s.smoothing
-    order = np.argsort(-mass, kind="stable")
+    order = np.argsort(-mass, kind="stable").astype(kind)
     mass = mass[order]
-    before = np.cumsum(mass) - mass
-    group = np.minimum((before / mass.sum() * s.classes).astype(np.int64), s.classes - 1)
+    before = np.cumsum(mass)
+    before -= mass
+    group = np.minimum((before / mass.sum() * s.classes).astype(kind), s.classes - 1)
     of = np.empty(v, np.int32)
     of[order] = group
     node, digit = np.full(v, -1, np.int32), np.zeros(v, np.uint8)
     ups, up_digits, depths, logs, level, made = [], [], [], [], 0, 0
-    at = np.arange(v)  # words in order whose group may hold others
+    at = np.arange(v, dtype=kind)  # words in order whose group may hold others
     above, place = np.full(v, -1, np.int32), np.zeros(v, np.uint8)
     while True:
         first = np.flatnonzero(np.diff(group, prepend=-1))
@@ -114,13 +116,17 @@ def planted(keys: np.ndarray, counts: np.ndarray, s: Settings) -> tuple[np.ndarr
             break
         size = size[size > 1]
         first = np.cumsum(size) - size
-        sums = np.add.reduceat(mass[at], first)
-        own = np.repeat(np.arange(len(size)), size)
-        rank = np.arange(len(at)) - first[own]
-        share = ((before[at] - before[at[first]][own]) / sums[own] * BRANCH).astype(np.int64)
-        d = np.where(size[own] <= BRANCH, rank, np.minimum(share, BRANCH - 1)).astype(np.uint8)
+        own = np.repeat(np.arange(len(size), dtype=kind), size)
+        d = np.empty(len(at), np.uint8)
+        held = mass[at]
+        sums, low = np.add.reduceat(held, first), before[at[first]]
+        for k in range(0, len(at), 1 << 18):  # piece by piece: the driver holds few arrays of the vocabulary's length at once
+            here = slice(k, k + (1 << 18))
+            o = own[here]
+            share = ((before[at[here]] - low[o]) / sums[o] * BRANCH).astype(np.int64)
+            d[here] = np.where(size[o] <= BRANCH, np.arange(k, k + len(o)) - first[o], np.minimum(share, BRANCH - 1))
         group = own * BRANCH + d
-        held = np.bincount(group, mass[at], len(size) * BRANCH).reshape(-1, BRANCH)
+        held = np.bincount(group, held, len(size) * BRANCH).reshape(-1, BRANCH)
         with np.errstate(divide="ignore"):
             logs.append(np.log(held / held.sum(1, keepdims=True)).astype(np.float32))
         ups.append(above[first])
@@ -378,8 +384,11 @@ def lexicon(docs: DataFrame, s: Settings = Settings(), text: str = "text") -> Le
 
     sums = docs.select(F.col(text).alias("t")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
     keys, counts = sums["h"].to_numpy().view(U64), sums["n"].to_numpy()
+    del sums
     order = np.argsort(keys)
-    of, tree = planted(keys[order], counts[order], s)
+    keys, counts = keys[order], counts[order]
+    del order
+    of, tree = planted(keys, counts, s)
     return Lexicon(of, None, tree, int(counts.sum()))
 
 
@@ -440,6 +449,7 @@ def train(docs: DataFrame, lex: Lexicon, s: Settings = Settings(), doc: str = "d
             flat = net.flat.copy()
             flat[mean["k"].to_numpy(np.int64)] = mean["v"].to_numpy()
             net = Net(s, flat, lex.levels)
+    words.destroy()  # the rounds are over; scoring sends its own
     return net
 
 
