@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, SpanHash, components, cut, discard, mix64, slices, spans_of, through
+from .decontaminate import LOWER as SMALL
+from .decontaminate import UPPER
 
 #: Bytes of words: all but blank, tab, line feed, vertical tab, form feed and carriage return.
 IS_WORD = np.ones(256, bool)
@@ -301,3 +303,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"), Settings(shingle=4))
+
+
+#: Counts every pair of documents that share a shingle; ids are taken as unique and not null.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{SMALL}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[g:g + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS g FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id WHERE r.c < l.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_minhash": minhash.SQL,
         "op4_warc": warc.SQL,
         "op5_decontaminate": decontaminate.SQL,
     }

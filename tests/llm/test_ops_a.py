@@ -239,6 +239,15 @@ def same(spark_df, expected, key="doc_id"):
         assert plain(got[c]) == plain(expected[c]), c
 
 
+def test_near_duplicates_equal_sql(spark):
+    same(minhash.query(spark, SF), oracle(SF, minhash.SQL))
+    texts = near_fixture(3)
+    docs = awkward(spark, texts)
+    found = oracle(SF, minhash.SQL, documents=docs.select("doc_id", "text").toPandas())
+    assert len(found) == len(texts)
+    same(minhash.near_duplicates(docs, minhash.Settings(shingle=4)), found)
+
+
 def test_decontamination_equals_sql(spark):
     same(decontaminate.query(spark, SF), oracle(SF, decontaminate.SQL))
 
