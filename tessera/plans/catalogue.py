@@ -158,7 +158,7 @@ def density(spark, sf_dir):
     return graph.degree_summary(deg_of(spark, sf_dir, "g2")).select(F.round("density_active_nodes", 12).alias("density"))
 
 
-@query("statistics_document")
+@query("statistics_document", sql.STATISTICS)
 def statistics_document(spark, sf_dir):
     e = sources.canonical(sources.integer_pairs(sources.parse(fixtures.edge_lines(spark, sf_dir))), dedup=False)
     return graph.statistics_document(graph.degrees(e), e, dedup=False)

@@ -17,6 +17,14 @@ SUMMARY = """SELECT count(*) AS active_nodes, CAST(sum(deg) AS BIGINT) AS degree
 round(sqrt(greatest(0.0::DOUBLE, avg(deg::DOUBLE * deg) - avg(deg::DOUBLE) * avg(deg::DOUBLE))), 9) AS std_degree,
 round(sum(deg)::DOUBLE / (count(*)::DOUBLE * (count(*) - 1)), 9) AS density_active_nodes, CAST(sum(CASE WHEN deg = 1 THEN 1 ELSE 0 END) AS BIGINT) AS degree_1_nodes, max(node) AS max_node_id FROM d"""
 
+STATISTICS = f"""WITH q AS MATERIALIZED ({CANONICAL}),
+d AS MATERIALIZED (SELECT node, count(*) AS deg FROM (SELECT unnest([u, v]) AS node FROM q) GROUP BY node),
+t AS (SELECT count(*) AS active_nodes, CAST(sum(deg) AS BIGINT) AS degree_sum, sum(deg)::DOUBLE / count(*) AS avg_degree, sum(deg::DOUBLE * deg) / count(*) AS sq, min(deg) AS min_degree, max(deg) AS max_degree, CAST(count_if(deg = 1) AS BIGINT) AS degree_1_nodes, max(node) AS max_node_id FROM d),
+x AS (SELECT list({{'node': node, 'degree': deg}} ORDER BY deg DESC, node) AS top_degrees FROM (SELECT node, deg FROM d ORDER BY deg DESC, node LIMIT 10)),
+e AS (SELECT count(*) AS edges FROM q)
+SELECT CAST(to_json({{'raw_edges': edges, 'used_edges': edges, 'active_nodes': active_nodes, 'degree_sum': degree_sum, 'avg_degree': avg_degree, 'min_degree': min_degree, 'max_degree': max_degree,
+'std_degree': sqrt(greatest(0.0::DOUBLE, sq - avg_degree * avg_degree)), 'density_active_nodes': degree_sum::DOUBLE / (active_nodes::DOUBLE * (active_nodes::DOUBLE - 1)), 'degree_1_nodes': degree_1_nodes, 'max_node_id': max_node_id, 'top_degrees': top_degrees}}) AS VARCHAR) AS document FROM e, t, x"""
+
 
 def parsed(columns: str) -> str:
     return f"SELECT {columns} FROM ({PARSED})"
